@@ -82,15 +82,19 @@ def write_warc(spark: SparkSession, pages: DataFrame, path: str) -> None:
     """Writes one record per row of pages (page_id, url, html) to files below path."""
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     rows = pages.withColumn("sha", F.sha1(F.coalesce("html", F.lit(""))))
-    # counts per (payload, page_id) show repeated page_ids; only those rows need a window
+    # how often the largest page_id of a payload occurs in it: rows that repeat it need numbering, no others
     per = rows.groupBy("sha", "page_id").agg(F.count("*").alias("n"))
-    keep = per.groupBy("sha").agg(F.max("page_id").alias("keeper"), F.sum("n").alias("copies"))
-    rows = rows.join(keep, "sha")
-    once = rows.where("copies = 1 or page_id < keeper or (page_id is null and keeper is not null)").withColumn("place", F.expr("case when copies = 1 then 1 else 2 end"))
-    top = rows.where("copies > 1 and page_id <=> keeper")
-    top = _numbered(top)
+    keep = per.groupBy("sha").agg(F.max(F.struct("page_id", "n")).alias("top"))
+    s = Scratch(spark, "warc-keys")
+    keep = s.save(keep.select("sha", F.col("top.page_id").alias("keeper"), F.col("top.n").alias("ties")), "keep")
+    top = F.expr("page_id <=> keeper")
+    joined = rows.join(keep, "sha")
     cols = ["page_id", "url", "html", "keeper", "place"]
-    members = once.select(cols).unionByName(top.select(cols)).mapInArrow(_write, "value binary")
+    members = joined.where(~(top & (F.col("ties") > 1))).withColumn("place", F.when(top, 1).otherwise(2)).select(cols)
+    ties = keep.where("ties > 1")
+    if not ties.isEmpty():
+        members = members.unionByName(_numbered(rows.join(ties, "sha").where(top)).select(cols))
+    members = members.mapInArrow(_write, "value binary")
     members.select(F.col("value").cast("string")).write.option("lineSep", "\u0000").option("compression", "none").text(path)
 
 
