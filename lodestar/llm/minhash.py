@@ -6,9 +6,10 @@ XOR population count estimates the similarity of a candidate before its full set
 
 Scale and skew. Documents with equal sets form one class by digest, so exact copies never meet in a
 join. In a bucket only (smallest document, member) pairs are proposed, one verified link per member;
-what those links leave apart is then compared by blocks of a bucket, best estimates first, until no
-untested candidate of two different components is left. So a group of m near copies costs about m
-comparisons, not m^2, and no link that the bands propose is lost. A leader's members are verified in
+in buckets that these links leave in several components, documents whose sketches allow a link are joined
+to clusters, and within a cluster documents of different components are compared exactly, block by block,
+by matrix products. So a group of near copies that hang together costs one comparison each, its pairs are
+never rows of a table, and no link that the bands propose is lost. A leader's members are verified in
 salted slices. Defined results: null or blank text has an empty set and links with nothing; a text of
 fewer words than the shingle size is one shingle; repeated doc_ids count as one node.
 """
@@ -22,7 +23,6 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestar.llm.common import Scratch, Words, connected_components, mix64
@@ -40,6 +40,7 @@ class MinHashConfig:
     sketch_words: int = 8
     slack: float = 0.15
     filter_bits: int = 24
+    block: int = 256
 
     @property
     def samples(self) -> int:
@@ -166,6 +167,95 @@ def verify_pairs(docs: DataFrame, pairs: DataFrame, c: MinHashConfig) -> DataFra
     return rows.mapInArrow(_verify(c), "a long, b long")
 
 
+def blocks(rows: DataFrame, key: str, size: int, more: DataFrame | None = None) -> DataFrame:
+    """rows (key, n rows of the key, doc_id, ...) dealt to groups (key, lo, hi) of at most about two blocks of
+    `size` rows, so that any two rows of a key meet in one group; more: joined by doc_id."""
+    rows = rows.withColumn("parts", F.expr(f"cast((n + {size - 1}) div {size} as int)"))
+    rows = rows.withColumn("part", F.expr("cast(pmod(hash(doc_id), parts) as int)")).withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
+    rows = rows.withColumn("lo", F.least("part", "other")).withColumn("hi", F.greatest("part", "other")).drop("parts", "other", "n").withColumnRenamed(key, "key")
+    if more is not None:
+        rows = rows.join(more, "doc_id")
+    return rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+
+
+def _groups(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[list[tuple]]:
+    """Rows (part, *columns) of one (key, lo, hi) after the other; their ids with them as lo and hi."""
+    at, rows = None, []
+    for batch in batches:
+        keys = zip(*(batch.column(k).to_pylist() for k in ("key", "lo", "hi")), strict=True)
+        for k, r in zip(keys, zip(*(batch.column(k).to_pylist() for k in ("part", *columns)), strict=True), strict=True):
+            if k != at:
+                if len(rows) > 1:
+                    yield rows
+                at, rows = k, []
+            rows.append(r)
+    if len(rows) > 1:
+        yield rows
+
+
+def forest(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+    """(a, b): each id that the links (i, j) join to a smaller one, and the least it reaches here."""
+    label = ids.copy()
+    while True:
+        before = label.copy()
+        np.minimum.at(label, i, before[j])
+        np.minimum.at(label, j, label[i])
+        if (label == before).all():
+            break
+    at = np.flatnonzero(label < ids)
+    return pa.RecordBatch.from_arrays([pa.array(label[at]), pa.array(ids[at])], names=["a", "b"])
+
+
+def _alike(c: MinHashConfig):
+    """Within buckets, joins documents whose odd sketches allow a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(batches, ("doc_id", "odd")):
+            ids = np.array([r[1] for r in rows], dtype=np.int64)
+            odd = np.array([r[2] for r in rows], dtype=np.int64).view(np.uint64)
+            apart = sum(np.bitwise_count(odd[:, None, k] ^ odd[None, :, k]).astype(np.int16) for k in range(odd.shape[1]))
+            i, j = np.nonzero(apart <= c.most_odd_bits)
+            yield forest(ids, i, j)
+
+    return run
+
+
+def intersections(sets: list[np.ndarray], width: int = 1 << 14) -> np.ndarray:
+    """Sizes of the intersections of all sets with each other, by products of slices of their incidence matrix."""
+    n = len(sets)
+    owner = np.repeat(np.arange(n), [len(x) for x in sets])
+    flat = np.concatenate(sets) if n else np.zeros(0, np.uint64)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    column = np.cumsum(np.concatenate([[False], flat[1:] != flat[:-1]])) if len(flat) else np.zeros(0, np.int64)
+    out = np.zeros((n, n))
+    columns = int(column[-1]) + 1 if len(column) else 0
+    cuts = np.searchsorted(column, np.arange(0, columns + width, width))
+    for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        grid = np.zeros((n, min(width, columns - k * width)), dtype=np.float32)
+        grid[owner[a:b], column[a:b] - k * width] = 1
+        out += grid @ grid.T
+    return out
+
+
+def _cross_links(c: MinHashConfig):
+    """Within clusters, exact links between documents of different components."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(batches, ("doc_id", "comp", "text")):
+            comp = np.array([r[2] for r in rows], dtype=np.int64)
+            if (comp == comp[0]).all():
+                continue
+            ids = np.array([r[1] for r in rows], dtype=np.int64)
+            sets = list(shingle_sets(Words(pa.array([r[3] for r in rows], pa.large_string())), c.shingle))
+            size = np.array([len(x) for x in sets])
+            both = intersections(sets)
+            i, j = np.nonzero((100 * both >= c.percent * (size[:, None] + size[None, :] - both)) & (comp[:, None] != comp[None, :]))
+            yield forest(ids, i, j)
+
+    return run
+
+
 def minhash_components(spark: SparkSession, docs: DataFrame, config: MinHashConfig | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (columns doc_id, text; more are ignored)."""
     c = config or MinHashConfig()
@@ -186,32 +276,25 @@ def minhash_components(spark: SparkSession, docs: DataFrame, config: MinHashConf
     stars = shared.where("doc_id <> lead").select("doc_id", "lead").distinct()
     stars = stars.join(odd, "doc_id").join(odd.select(F.col("doc_id").alias("lead"), F.col("odd").alias("odd2")), "lead")
     stars = stars.where(apart <= c.most_odd_bits).groupBy("doc_id").agg(F.min("lead").alias("a")).select("a", F.col("doc_id").alias("b"))
-    tested = s.save(stars, "stars")
-    links = s.save(verify_pairs(unique_docs, tested, c), "links")
+    links = s.save(verify_pairs(unique_docs, s.save(stars, "stars"), c), "links")
 
-    limit, turn = 64, 0
     parts = s.save(connected_components(s, links, "cc"), "parts")
-    while True:
-        known = shared.select("key", "doc_id").join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-        known = known.select("key", "doc_id", F.coalesce("component", "doc_id").alias("comp"))
-        mixed = known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-        rows = s.save(known.join(mixed, "key").join(odd, "doc_id"), f"mixed{turn}")
-        other = rows.select("key", F.col("doc_id").alias("b"), F.col("comp").alias("comp2"), F.col("odd").alias("odd2"))
-        near = rows.alias("x").join(other.alias("y"), (F.col("x.key") == F.col("y.key")) & F.expr("comp <> comp2 and doc_id < b") & (apart <= c.most_odd_bits))
-        near = near.select(F.col("doc_id").alias("a"), "b", "comp2", apart.alias("z")).distinct().join(tested, ["a", "b"], "left_anti")
-        order = W.partitionBy("a", "comp2").orderBy("z", "b")
-        ranked = s.save(near.withColumn("rn", F.row_number().over(order)).where(f"rn <= {limit + 1}").select("a", "b", "rn"), f"fresh{turn}")
-        n, most = ranked.agg(F.count("*"), F.max("rn")).first()
-        if n:
-            fresh = ranked.where(f"rn <= {limit}").select("a", "b")
-            found = s.save(verify_pairs(unique_docs, fresh, c), f"found{turn}")
-            if not found.isEmpty():
-                whole = parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found)
-                parts = s.save(connected_components(s, whole, f"cc{turn}"), f"parts{turn}")
-        if not n or most <= limit:  # every candidate has been tested
-            break
-        tested = s.save(tested.unionByName(fresh), f"tested{turn}")
-        limit, turn = limit * 8, turn + 1
+    known = shared.select("key", "doc_id").join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    known = s.save(known.select("key", "doc_id", F.coalesce("component", "doc_id").alias("comp")), "known")
+    mixed = known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("key", "n")
+    rows = known.join(mixed, "key").join(odd, "doc_id").select("key", "n", "doc_id", "odd")
+    alike = blocks(rows, "key", c.block).mapInArrow(_alike(c), "a long, b long")
+    clusters = s.save(connected_components(s, alike, "alike"), "clusters")
+    if not clusters.isEmpty():
+        whole = clusters.select("node", "component").unionByName(clusters.select(F.col("component").alias("node"), "component").distinct())
+        whole = whole.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")).join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+        whole = whole.select("cluster", "doc_id", F.coalesce("component", "doc_id").alias("comp"))
+        open_ = whole.groupBy("cluster").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("cluster", "n")
+        members = s.save(whole.join(open_, "cluster"), "members")
+        texts = texts_of(unique_docs, members.select("doc_id"), c.filter_bits)
+        found = blocks(members, "cluster", c.block, texts).mapInArrow(_cross_links(c), "a long, b long")
+        both = parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found)
+        parts = s.save(connected_components(s, both, "all"), "all-parts")
 
     linked = parts.withColumnRenamed("node", "rep")
     out = signed.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left").join(linked, "rep", "left")
