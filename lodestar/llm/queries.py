@@ -72,7 +72,7 @@ _OP2_SQL = r"""
 WITH RECURSIVE
 w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 g AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
-        ELSE list_distinct(list_transform(range(1, len(ws) - 3), i -> array_to_string(ws[i:i+4], ' '))) END AS sh FROM w),
+        ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i+4], ' '))) END AS sh FROM w),
 n AS (SELECT doc_id, len(sh) AS n_shingles FROM g),
 x AS (SELECT doc_id, md5(unnest(sh)) AS s FROM g),
 p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both FROM x a JOIN x b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
@@ -84,8 +84,8 @@ FROM n JOIN (SELECT node, min(reach) AS component_id FROM r GROUP BY 1) c ON c.n
 
 _OP7_SQL = """
 WITH RECURSIVE
-v AS (SELECT vec_id, list_transform(embedding, x -> CAST(x AS DOUBLE)) AS x FROM embeddings),
-u AS (SELECT vec_id, x, sqrt(list_sum(list_transform(x, y -> y * y))) AS norm FROM v),
+v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS x FROM embeddings),
+u AS (SELECT vec_id, x, sqrt(list_sum(list_transform(x, lambda y: y * y))) AS norm FROM v),
 e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id WHERE list_dot_product(a.x, b.x) >= 0.9 * a.norm * b.norm),
 r(node, reach) AS (SELECT vec_id, vec_id FROM u UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.reach)
 SELECT u.vec_id, coalesce(l.n, 0) AS n_links, c.component_id, u.vec_id = c.component_id AS kept
