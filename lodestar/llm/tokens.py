@@ -36,7 +36,7 @@ class TokenConfig:
     tokenizer: str
     pattern: str
     end_id: int = 2
-    memo: int = 300_000
+    memo: int = 600_000
     block: int = 1 << 17
 
 
@@ -86,8 +86,8 @@ def _encode(c: TokenConfig):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(c)
         for batch in batches:
-            for i in range(0, batch.num_rows, 250):
-                part = batch.slice(i, 250)
+            for i in range(0, batch.num_rows, 1000):
+                part = batch.slice(i, 1000)
                 ids = e.batch([x or "" for x in part.column("text").to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(x) // e.width for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "n_tokens", "ids"])
 
