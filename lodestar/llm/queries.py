@@ -75,8 +75,8 @@ g AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_
         ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i+4], ' '))) END AS sh FROM w),
 n AS (SELECT doc_id, len(sh) AS n_shingles FROM g),
 x AS (SELECT doc_id, md5(unnest(sh)) AS s FROM g),
-p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both FROM x a JOIN x b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
-e AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * both >= 85 * (na.n_shingles + nb.n_shingles - both)),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n_both FROM x a JOIN x b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * n_both >= 85 * (na.n_shingles + nb.n_shingles - n_both)),
 r(node, reach) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.reach)
 SELECT n.doc_id, n.n_shingles, c.component_id, n.doc_id = c.component_id AS kept
 FROM n JOIN (SELECT node, min(reach) AS component_id FROM r GROUP BY 1) c ON c.node = n.doc_id
