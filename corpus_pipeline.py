@@ -19,9 +19,12 @@ def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that of the smallest doc_id."""
+    """One document of each group of near-duplicates: that of the smallest doc_id. Rows without
+    a doc_id link with nothing and stay; of rows that repeat a doc_id, one stays."""
     found = minhash.minhash_components(spark, docs).where("kept").select("doc_id")
-    return docs.select(*COLUMNS).join(found.distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    docs = docs.select(*COLUMNS)
+    kept = docs.join(found.distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    return kept.unionByName(docs.where("doc_id is null"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
