@@ -111,10 +111,15 @@ def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
     """(control bytes, data bytes) of ranks."""
     r = ranks.astype("<u4")
     code = (r > 0xFF).astype(np.uint8) + (r > 0xFFFF) + (r > 0xFFFFFF)
-    data = r.view(np.uint8).reshape(-1, 4)[np.arange(4) <= code[:, None]]
+    most = int(code.max(initial=0)) + 1
+    used = np.ones(len(r) * most, dtype=bool)
+    for k in range(1, most):
+        used[k::most] = code >= k
+    data = np.ascontiguousarray(r.view(np.uint8).reshape(-1, 4)[:, :most]).ravel()[used]
     quads = np.zeros(-(-len(r) // 4) * 4, dtype=np.uint8)
     quads[: len(r)] = code
-    return (quads.reshape(-1, 4) << np.array([0, 2, 4, 6], dtype=np.uint8)).sum(axis=1, dtype=np.uint8).tobytes(), data.tobytes()
+    a, b, c, d = (quads[k::4] for k in range(4))
+    return (a | b << 2 | c << 4 | d << 6).tobytes(), data.tobytes()
 
 
 _LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + 1
@@ -177,7 +182,7 @@ def _digests(id_of: np.ndarray):
                 ids = id_of[unpack(r["control"], r["data"], r["n"])]
                 size = np.array(r["lengths"], dtype=np.int64)
                 end = np.cumsum(size)
-                crc = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(end - size, end, strict=True)]
+                crc = [zlib.crc32(ids[a:b]) for a, b in zip(end - size, end, strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r["shard"]] * len(size), pa.int32()), pa.array(r["doc_ids"], pa.int64()), pa.array(end - size + r["before"], pa.int64()), pa.array(size, pa.int64()), pa.array(crc, pa.int64())], names=names
                 )
