@@ -135,3 +135,24 @@ def test_html():
     assert html.main_text(page) == "A & b\nThe first of the lines\nand the second"
     assert html.main_text(None) == "" and html.main_text("<p") == ""
     assert re.search("x" * 1000, html.main_text("<article><p>" + "x" * 1000 + "</article>"))
+
+
+def test_empty_tables(spark, docs):
+    none = docs.limit(0)
+    c = tokens.TokenConfig(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    assert tokens.token_table(spark, none, c).count() == 0
+    assert fingerprint.fingerprint_documents(spark, none).count() == 0
+    assert pieces.encode_documents(none, pieces.PieceConfig(public_tokenizers.path("piece_bpe_32k.model"))).count() == 0
+    assert langid.identify(spark, none, none.select("lang", "text")).count() == 0
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    assert html.extract_pages(pages).count() == 0 and warc.archived_pages(spark, pages).count() == 0
+    assert vectors.vector_links(spark, spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
+
+
+def test_repeated_and_null_rows_of_token_files(spark):
+    c = tokens.TokenConfig(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    rows = [(1, "a b"), (1, "a b"), (None, "c"), (2, None), (3, "<|endoftext|> x")]
+    got = tokens.token_table(spark, spark.createDataFrame(rows, "doc_id long, text string"), c).collect()
+    assert sorted(r["doc_id"] for r in got if r["doc_id"] is not None) == [1, 1, 2, 3] and len(got) == 5
+    by_start = sorted((r["start"], r["n_tokens"]) for r in got)
+    assert all(a + n == b for (a, n), (b, _) in zip(by_start, by_start[1:])) and next(r["start"] for r in got if r["doc_id"] is None) == 0
