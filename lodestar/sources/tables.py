@@ -76,3 +76,23 @@ def subset_violations(matching: DataFrame, candidates: DataFrame) -> DataFrame:
 def id_fingerprint(table: DataFrame, column: str, by: str) -> DataFrame:
     """SHA-256 of the sorted ids of each group, one per line: for id sets that fit a driver's report."""
     return table.groupBy(by).agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list(column)), "\n"), 256).alias("sha256"))
+
+
+def append_run(run: DataFrame, path: str) -> None:
+    """Adds the rows of one run to the history table at path; runs may differ in their columns."""
+    run.withColumn("recorded_at", F.current_timestamp()).write.mode("append").parquet(path)
+
+
+def run_history(spark: SparkSession, path: str) -> DataFrame:
+    """All runs recorded at path; a column that a run lacked is null there."""
+    return spark.read.option("mergeSchema", True).parquet(path)
+
+
+def markdown(report: DataFrame) -> DataFrame:
+    """The rows of a small report as lines of a Markdown table (line_no, line), in the report's order.
+
+    For aggregates only: the lines are numbered on the driver.
+    """
+    cells = [" | ".join("" if v is None else str(v).replace("|", "\\|").replace("\n", " ") for v in row) for row in report.collect()]
+    lines = [" | ".join(report.columns), "|".join("-" for _ in report.columns), *cells]
+    return report.sparkSession.createDataFrame([(i, f"|{x}|") for i, x in enumerate(lines)], "line_no int, line string")

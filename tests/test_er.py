@@ -73,3 +73,13 @@ def test_entry_imports():
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert F is not None
+
+
+def test_run_history_and_report(spark, tmp_path):
+    path = f"file://{tmp_path}/history"
+    tables.append_run(spark.createDataFrame([("first", 0.5)], "run string, macro_f double"), path)
+    tables.append_run(spark.createDataFrame([("second", 0.6, "a|b")], "run string, macro_f double, note string"), path)
+    got = tables.run_history(spark, path).orderBy("recorded_at").select("run", "macro_f", "note")
+    assert [tuple(r) for r in got.collect()] == [("first", 0.5, None), ("second", 0.6, "a|b")]
+    lines = [r["line"] for r in tables.markdown(got).orderBy("line_no").collect()]
+    assert lines == ["|run | macro_f | note|", "|-|-|-|", "|first | 0.5 | |", "|second | 0.6 | a\\|b|"]
