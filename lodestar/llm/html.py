@@ -43,6 +43,7 @@ BAD_NAMES = re.compile(
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu menubar".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
+RAW_END = {name: re.compile(rf"</{name}[\s/]*>", re.I) for name in ("script", "style", "textarea", "iframe")}  # their content holds no tags
 WORD = re.compile(r"[^\W\d_]+")
 SPACE = re.compile(r"\s+")
 
@@ -79,6 +80,21 @@ def _bad_attributes(attrs: str) -> bool:
     return False
 
 
+def _tokens(page: str) -> Iterator[re.Match]:
+    """Tags and comments in order; what a script or the like holds is passed over up to its own closing tag."""
+    at, gone = 0, set()
+    while m := TOKEN.search(page, at):
+        yield m
+        at = m.end()
+        name = (m[2] or "").lower()
+        if name in RAW_END and name not in gone and not m[1] and not m[3].endswith("/"):
+            close = RAW_END[name].search(page, at)
+            if close is None:
+                gone.add(name)
+            else:
+                at = close.start()
+
+
 def blocks_of(page: str) -> list[Block]:
     """The text blocks of a page in order, each with what its surroundings say of it."""
     out: list[Block] = []
@@ -104,7 +120,7 @@ def blocks_of(page: str) -> list[Block]:
             linked += len(SPACE.sub(" ", text))
 
     at, skip = 0, ""
-    for m in TOKEN.finditer(page):
+    for m in _tokens(page):
         name = (m[2] or "").lower()
         if skip:
             if m[1] and name == skip:

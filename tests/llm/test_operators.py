@@ -137,6 +137,13 @@ def test_html():
     assert re.search("x" * 1000, html.main_text("<article><p>" + "x" * 1000 + "</article>"))
 
 
+@pytest.mark.parametrize("code", ["for(i=0;i<n;i++){f(i)}", "if(a<b)c='it", 'x="<!--"', "document.write('</head><p>')"])
+def test_html_after_scripts(code):
+    page = f"<html><head><script>{code}</script></head><body><article><p>A<script>{code}</SCRIPT ><p>B<style>a<b</style></article><p>it's</body>"
+    assert html.main_text(page) == "A\nB"
+    assert [b.text for b in html.blocks_of(f"<p>A<script>{code}</script> tail")] == ["A tail"]
+
+
 def test_empty_tables(spark, docs):
     none = docs.limit(0)
     c = tokens.TokenConfig(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
