@@ -95,6 +95,22 @@ def _tokens(page: str) -> Iterator[re.Match]:
                 at = close.start()
 
 
+def _ends(tokens: list[re.Match]) -> dict[int, int]:
+    """Opening to closing tag of every skipped element that has both, by place in tokens."""
+    opened: dict[str, list[int]] = {}
+    ends = {}
+    for i, m in enumerate(tokens):
+        name = (m[2] or "").lower()
+        if name not in SKIPPED or name in VOID:
+            continue
+        if not m[1]:
+            if not m[3].endswith("/"):
+                opened.setdefault(name, []).append(i)
+        elif opened.get(name):
+            ends[opened[name].pop()] = i
+    return ends
+
+
 def blocks_of(page: str) -> list[Block]:
     """The text blocks of a page in order, each with what its surroundings say of it."""
     out: list[Block] = []
@@ -119,13 +135,13 @@ def blocks_of(page: str) -> list[Block]:
         if links:
             linked += len(SPACE.sub(" ", text))
 
-    at, skip = 0, ""
-    for m in _tokens(page):
-        name = (m[2] or "").lower()
-        if skip:
-            if m[1] and name == skip:
-                skip, at = "", m.end()
+    tokens = list(_tokens(page))
+    ends = _ends(tokens)
+    at, last = 0, -1  # last: the token that ends a skipped element
+    for i, m in enumerate(tokens):
+        if i <= last:
             continue
+        name = (m[2] or "").lower()
         if m.start() > at:
             add(page[at : m.start()])
         at = m.end()
@@ -133,14 +149,9 @@ def blocks_of(page: str) -> list[Block]:
             continue
         closing = bool(m[1])
         if name in SKIPPED:
-            if not closing and not m[3].endswith("/"):
-                close = re.compile(rf"</{name}\s*>", re.I).search(page, m.end())
-                if name in ("script", "style"):
-                    skip = name
-                    if close is None:
-                        at = len(page)
-                elif close is not None or name != "head":
-                    skip = name
+            if i in ends:  # of one that is never closed, only the tag goes
+                last = ends[i]
+                at = tokens[last].end()
             continue
         if name == "br":
             pieces.append(" ")
@@ -173,7 +184,7 @@ def blocks_of(page: str) -> list[Block]:
             article += is_article
         if name in BLOCKS:
             tag = name if not closing else (stack[-1][0] if stack else "body")
-    if not skip and at < len(page):
+    if at < len(page):
         add(page[at:])
     flush()
     return out

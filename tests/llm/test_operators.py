@@ -144,6 +144,14 @@ def test_html_after_scripts(code):
     assert [b.text for b in html.blocks_of(f"<p>A<script>{code}</script> tail")] == ["A tail"]
 
 
+@pytest.mark.parametrize("name", sorted(html.SKIPPED))
+def test_html_after_unclosed_elements(name):
+    assert html.main_text(f"<article><p>A</p><{name} src=x><p>B</p></article>") == "A\nB"
+    if name not in html.VOID:
+        assert html.main_text(f"<article><p>A</p><{name}><p>B</p><{name}>x</{name}><p>C</p></article>").split("\n") == (["A", "C"] if name in html.RAW_END else ["A", "B", "C"])
+        assert html.main_text(f"<article><p>A</p><{name}>x</{name}><p>C</p></article>") == "A\nC"
+
+
 def test_empty_tables(spark, docs):
     none = docs.limit(0)
     c = tokens.TokenConfig(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
