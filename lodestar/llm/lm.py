@@ -6,8 +6,8 @@ classes (last byte, any byte beyond ASCII), within which it has its add-0.1 shar
 So P(word | past) = softmax over classes x softmax within the class (or the share), a proper distribution.
 
 Learning. The network starts at the corpus's class and word frequencies, is warmed up on a bounded sample
-(`warm_docs` whole documents), then every task trains its share of one training document in `stride` by
-truncated backpropagation from there and the weights are averaged by token counts, task by task up a tree.
+(`warm_docs` whole documents), then every task trains its share of all training documents by truncated
+backpropagation from there and the weights are averaged by token counts, task by task up a tree.
 Scoring carries the state across windows from a document's first token to its end token.
 
 Counts of words beyond the `head` most frequent are joined by hash; words are told apart by a 64-bit hash.
@@ -40,7 +40,6 @@ class LmConfig:
     window: int = 24
     rate: float = 0.006
     warm_docs: int = 600
-    stride: int = 24
     smooth: float = 0.1
     flush: int = 4_000_000
     held_out_of: int = 10
@@ -224,7 +223,7 @@ class Trainer:
 
     def run(self, sym: np.ndarray, cls: np.ndarray, member: np.ndarray, bounds: np.ndarray) -> None:
         c, net = self.c, self.net
-        if len(sym) < 2:
+        if not len(sym):
             return
         lanes = max(1, min(c.lanes, len(sym) // c.window))
         steps = len(sym) // lanes
@@ -232,12 +231,16 @@ class Trainer:
         start[bounds[:-1][np.diff(bounds) > 0]] = True
         prev = np.concatenate([[len(net.G) - 1], sym[:-1]])
         prev[start] = len(net.G) - 1
+        rest = [x[lanes * steps :, None] for x in (prev, cls, member, start)]
         grid = lambda x: x[: lanes * steps].reshape(lanes, steps).T
         prev, cls, member, start = grid(prev), grid(cls), grid(member), grid(start)
         h = np.zeros((lanes, net.h), dtype=np.float32)
         for a in range(0, steps, c.window):
             b = min(steps, a + c.window)
             h = self._window(prev[a:b], cls[a:b], member[a:b], start[a:b], h)
+        h = h[-1:]  # what the lanes leave over goes on from the last one
+        for a in range(0, len(rest[0]), c.window):
+            h = self._window(*(x[a : a + c.window] for x in rest), h)
 
     def _window(self, x, cls, member, start, h):
         net, k = self.net, self.net.h
@@ -389,7 +392,7 @@ def _score(blob: bytes):
 
 
 def train(spark: SparkSession, docs: DataFrame, counts: DataFrame, c: LmConfig) -> tuple[Lexicon, GatedNet]:
-    """docs: text, turn (a hash that deals out training documents); counts: h, cls, n of their words."""
+    """docs: text, turn (a hash that picks the warm-up); counts: h, cls, n of their words."""
     total, distinct = counts.agg(F.sum("n"), F.count("*")).first()
     top = counts.orderBy(F.desc("n"), "h").limit(c.head).toPandas()
     per = counts.groupBy("cls").agg(F.sum("n").alias("n"), F.count("*").alias("v")).toPandas()  # at most 65 rows
@@ -402,8 +405,7 @@ def train(spark: SparkSession, docs: DataFrame, counts: DataFrame, c: LmConfig)
     if len(warm):
         Trainer(net, c).run(*_sequences(lex, pa.array(warm["text"].tolist(), pa.string())))
     blob = zlib.compress(pickle.dumps((lex, net)), 1)
-    part = docs.where(F.col("turn") % c.stride == 0).select("text")
-    sums, parts = part.mapInArrow(_train(blob), "n long, w array<double>"), parts_for(spark)
+    sums, parts = docs.select("text").mapInArrow(_train(blob), "n long, w array<double>"), parts_for(spark)
     while parts > 1:
         parts = -(-parts // 16)
         sums = sums.repartition(parts).mapInArrow(_add_up, "n long, w array<double>")

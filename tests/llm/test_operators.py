@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import pytest
+from pyspark.sql.classic.dataframe import DataFrame
 
 from lodestar.llm import common, fingerprint, html, langid, lm, minhash, mixing, pieces, tokens, vectors, warc
 
@@ -92,6 +93,25 @@ def test_lm(spark, docs):
         assert got[i]["n_tokens"] == len(ws) and got[i]["score"] < 0
 
 
+def test_lm_learns_from_every_training_document(spark, docs, monkeypatch):
+    added = []
+    monkeypatch.setattr(lm.GatedNet, "unpack", lambda net, flat: added.append(flat) or net)
+    real = DataFrame.collect
+    seen = []
+    monkeypatch.setattr(DataFrame, "collect", lambda d: [seen.append(r["n"]) or r for r in real(d)] if d.columns == ["n", "w"] else real(d))
+    got = lm.score_documents(spark, docs, lm.LmConfig(words=64, members=16, head=20, hidden=8))
+    assert len(added) == 1 and sum(seen) == got.first()["train_tokens"]
+    c = lm.LmConfig(words=64, members=16, head=20, hidden=8)
+    h, k, bounds = lm.tokens_of(pa.array([BASE]))
+    u, first, n = np.unique(h, return_index=True, return_counts=True)
+    lex = lm.Lexicon(c, u, n, k[first], np.bincount(k, minlength=65), np.bincount(k[first], minlength=65), len(h), len(u))
+    trainer, sizes = lm.Trainer(lm.GatedNet(lex), c), []
+    window = trainer._window
+    trainer._window = lambda x, *more: sizes.append(x.size) or window(x, *more)
+    trainer.run(*lm._sequences(lex, pa.array([BASE])))
+    assert sum(sizes) == len(h) == 121
+
+
 def test_pieces():
     m = pieces.piece_model(pieces.PieceConfig(public_tokenizers.path("piece_bpe_32k.model")))
     texts = ["", " a  b\n▁c", "日本🎉", "x" * 500, *[t or "" for t in TEXTS]]
