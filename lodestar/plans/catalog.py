@@ -163,6 +163,14 @@ def tfidf_topk(spark, d):
     return er.tfidf_topk(r.where("src = 'S1'"), r.where("src = 'S3'"), 5)
 
 
+def _tfidf_all(column):
+    def run(spark, d):
+        r = records(spark, d).withColumn("t", T.normalize(column, False))
+        return er.tfidf_topk(r.where("src = 'S1'"), r.where("src <> 'S1'"), 50, 3, 5)
+
+    return run
+
+
 def pair_features(spark, d):
     return er.pair_features(_joined(spark, d))
 
@@ -271,6 +279,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ]
     out = {f.__name__: f for f in plain}
     out |= {f"block_{r}": _block(r) for r in CAPS} | {f"retrieval_{p}": _retrieval(p) for p in er.PROFILES}
+    out |= {"tfidf_name_all": _tfidf_all("name"), "tfidf_addr_all": _tfidf_all("addr")}
     out |= {"decide_global": _decided("global"), "decide_source": _decided("source_specific"), "decide_margin": _decided("margin_abstention")}
     out |= {"decide_adaptive": _decided("adaptive_multi"), "decide_adaptive_all": _decided("adaptive_multi", per_source=0, abstain=False), "decide_prefix": _decided("prefix"), "decide_rank_aware": _decided("rank_aware", per_source=3)}
     return out

@@ -1,3 +1,6 @@
+import math
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -51,6 +54,40 @@ def test_metrics_and_decisions(spark):
     assert {tuple(r) for r in lists.collect()} == {("S1-1", "S2-1,S3-1"), ("S1-2", ""), ("S1-3", "")}
 
 
+RECORDS = [
+    ("S1-1", "S1", 1, "acme steel works", "12 oak lane 40001", "x"), ("S1-2", "S1", 2, "borea", "", "x"), ("S2-1", "S2", 1, "acme steelworks", "lane oak 12 40001", "x"),
+    ("S2-2", "S2", 2, "zenith foods", "12 oak lane 40001", "y"), ("S2-3", "S2", 3, "acme foods", "12 elm road 50002", "y"), ("S3-1", "S3", 1, "acme steel work", "9 elm road 40001", "x"), ("S3-2", "S3", 2, "boreas", "7 oak road 50002", "x"),
+]
+
+
+@pytest.fixture
+def small(spark, monkeypatch):
+    from lodestar.plans import catalog
+
+    rec = spark.createDataFrame(RECORDS, "id string, src string, seq long, name string, addr string, country string")
+    monkeypatch.setattr(catalog, "records", lambda spark, d: rec)
+    return catalog.queries()
+
+
+@pytest.mark.parametrize("name, place", [("tfidf_name_all", 3), ("tfidf_addr_all", 4)])
+def test_tfidf_over_all_targets(spark, small, name, place):
+    def counts(r):
+        t = r[place] or "unknown"
+        return Counter(t[i : i + n] for n in (3, 4, 5) for i in range(len(t) - n + 1))
+
+    targets = [r for r in RECORDS if r[1] != "S1"]
+    df = Counter(g for r in targets for g in counts(r))
+    idf = {g: math.log((len(targets) + 1) / (n + 1)) + 1 for g, n in df.items() if n >= 2}
+
+    def unit(r):
+        w = {g: (1 + math.log(n)) * idf[g] for g, n in counts(r).items() if g in idf}
+        return {g: x / math.sqrt(sum(y * y for y in w.values())) for g, x in w.items()}
+
+    want = {(q[0], t[0]): sum(x * unit(t).get(g, 0) for g, x in unit(q).items()) for q in RECORDS if q[1] == "S1" for t in targets}
+    got = {(r["s1_id"], r["target_id"]): r["sim"] for r in small[name](spark, "").collect()}
+    assert got == pytest.approx({k: x for k, x in want.items() if x > 0}, abs=1e-6) and {t[:2] for _, t in got} == {"S2", "S3"}
+
+
 def test_tsv(spark, tmp_path):
     (tmp_path / "a.tsv").write_text("entity_id\tbusiness_name\tbusiness_address\tcountry\nS1-1\tA\t\tIN\nS1-1\tB\tx\tIN\n")
     t = tables.read_tsv(spark, str(tmp_path / "a.tsv"))
