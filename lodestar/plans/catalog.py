@@ -17,10 +17,15 @@ from lodestar.operators import er, learn
 from lodestar.sources import tables
 
 CAPS = {"exact_name": 50, "name_sig": 50, "rare_token": 30, "postal": 30, "building": 20}
+ALL_CAPS = CAPS | {"exact_addr": 50, "addr_sig": 50}
 GATES = {"rare_token": 100}
 THRESHOLDS = [round(0.20 + 0.01 * i, 2) for i in range(66)]
 
 
+class AllRoutes(str):
+    """A directory of tables whose candidates come from all nine routes; plain strings take those of the SQL."""
+
+
 def records(spark: SparkSession, d: str) -> DataFrame:
     read = lambda t: spark.read.parquet(f"{d}/{t}.parquet")
     street = lambda n, kind: F.concat(n.cast("string"), F.lit(f" Main {kind} "), (n + 10000).cast("string"))
@@ -45,7 +50,21 @@ def _keys(spark, d):
     return keys.where("src = 'S1'"), keys.where("src <> 'S1'")
 
 
+def _all_hits(spark, d):
+    """Blocked hits, those of postal codes and buildings with a name token in common, and both TF-IDF searches."""
+    p = parsed(spark, d)
+    q, t = _keys(spark, d)
+    hits = er.blocked(q, t, ALL_CAPS, GATES)
+    out = hits.where("route not in ('postal', 'building')")
+    out = out.unionByName(er.with_residual(hits.where("route = 'postal'"), p)).unionByName(er.with_residual(hits.where("route = 'building'"), p, same_country=True))
+    for route, column in (("name_tfidf", "name"), ("addr_tfidf", "addr")):
+        out = out.unionByName(_tfidf_all(column)(spark, d).select("s1_id", "target_id", F.lit(route).alias("route")))
+    return out
+
+
 def _hits(spark, d, *routes):
+    if isinstance(d, AllRoutes):
+        return _all_hits(spark, d)
     q, t = _keys(spark, d)
     return er.blocked(q, t, {r: CAPS[r] for r in routes or CAPS}, GATES)
 
@@ -282,7 +301,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out |= {"tfidf_name_all": _tfidf_all("name"), "tfidf_addr_all": _tfidf_all("addr")}
     out |= {"decide_global": _decided("global"), "decide_source": _decided("source_specific"), "decide_margin": _decided("margin_abstention")}
     out |= {"decide_adaptive": _decided("adaptive_multi"), "decide_adaptive_all": _decided("adaptive_multi", per_source=0, abstain=False), "decide_prefix": _decided("prefix"), "decide_rank_aware": _decided("rank_aware", per_source=3)}
-    return out
+    routed = [
+        "union_provenance", "pair_features", "context_features", "fuzzy_features", "jaro_winkler", "threshold_sweep", "macro_metrics", "subgroup_metrics", "candidate_recall", "route_benchmark", "candidate_distribution",
+        "recall_funnel", "error_breakdown", "missed_pairs", "hard_negatives", "sink_rows", "list_violations", "gbt_scores", "calibration", *[n for n in out if n.startswith("decide_")],
+    ]
+    return out | {f"{n}_nine_routes": lambda spark, d, f=out[n]: f(spark, AllRoutes(d)) for n in routed}
 
 
 # --- the same in DuckDB's SQL ------------------------------------------------------------------

@@ -88,6 +88,20 @@ def test_tfidf_over_all_targets(spark, small, name, place):
     assert got == pytest.approx({k: x for k, x in want.items() if x > 0}, abs=1e-6) and {t[:2] for _, t in got} == {"S2", "S3"}
 
 
+def test_candidates_of_all_routes(spark, small):
+    got = {(r["s1_id"], r["target_id"]): (r["routes"], r["tier"]) for r in small["union_provenance_nine_routes"](spark, "").collect()}
+    assert got == {
+        ("S1-1", "S2-1"): ("addr_sig,addr_tfidf,name_tfidf,postal,rare_token", 1),
+        ("S1-1", "S2-2"): ("addr_sig,addr_tfidf,exact_addr", 1),
+        ("S1-1", "S2-3"): ("addr_tfidf,name_tfidf,rare_token", 2),
+        ("S1-1", "S3-1"): ("addr_tfidf,name_tfidf,postal,rare_token", 2),
+        ("S1-1", "S3-2"): ("addr_tfidf", 2),
+    }
+    plain = {(r["s1_id"], r["target_id"]) for r in small["union_provenance"](spark, "").collect()}
+    assert ("S1-1", "S3-2") not in plain
+    assert small["decide_global_nine_routes"](spark, "").count() == 2 and small["candidate_recall_nine_routes"](spark, "").first()["n_candidates"] == 5
+
+
 def test_tsv(spark, tmp_path):
     (tmp_path / "a.tsv").write_text("entity_id\tbusiness_name\tbusiness_address\tcountry\nS1-1\tA\t\tIN\nS1-1\tB\tx\tIN\n")
     t = tables.read_tsv(spark, str(tmp_path / "a.tsv"))
