@@ -8,7 +8,7 @@ window on the target side before the join; heavy tokens are gated by document fr
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -19,7 +19,7 @@ from lodestar.functions import text as T
 PAIR = ["s1_id", "target_id"]
 #: route -> (weight, default cap, most targets a token may have: 0 for any)
 ROUTES = {
-    "exact_name": (5.0, 500, 0), "compact_name": (4.0, 400, 0), "core_name": (3.5, 300, 0), "name_sig": (3.5, 300, 0), "rare_token": (3.0, 250, 350),
+    "exact_name": (5.0, 500, 0), "compact_name": (4.0, 400, 0), "core_name": (3.5, 300, 0), "name_sig": (3.5, 300, 0), "rare_token": (3.0, 250, 350), "sig_token": (2.0, 150, 3500),
     "num_street": (3.0, 100, 0), "name_num": (3.0, 100, 0), "name_postal": (3.0, 100, 0), "postal": (1.5, 100, 0), "building": (1.0, 100, 0),
     "char_4gram": (2.5, 100, 500), "char_3gram": (2.0, 100, 500), "exact_addr": (3.0, 200, 0), "addr_sig": (2.5, 200, 0), "phonetic": (3.5, 150, 0), "word2gram": (3.0, 150, 350),
 }
@@ -27,14 +27,28 @@ ROUTES = {
 
 @dataclass(frozen=True)
 class Profile:
-    """most: pairs kept per query; scale: of the caps; routes: names used (none: all)."""
+    """most: pairs kept per query; scale: of the caps; routes: names used (none: all); caps, gates: by route, in
+    place of the scaled cap and of the gate in ROUTES. Significant tokens are those over the gate of rare ones."""
 
     most: int = 250
     scale: float = 1.0
     routes: tuple[str, ...] = ()
+    caps: dict[str, int] = field(default_factory=dict)
+    gates: dict[str, int] = field(default_factory=dict)
 
 
-PROFILES = {"high": Profile(300, 1.0), "balanced": Profile(150, 0.6), "lean": Profile(80, 0.3)}
+def _profile(most: int, scale: float, names: tuple[int, ...], other: int, gates: tuple[int, int, int]) -> Profile:
+    """The caps of name routes, of numbers and grams, and the gates of rare and significant tokens and grams; addresses have one cap."""
+    caps = dict(zip(("exact_name", "compact_name", "core_name", "name_sig", "rare_token", "sig_token"), names, strict=True))
+    caps |= dict.fromkeys(("postal", "building", "num_street", "name_num", "name_postal", "char_3gram", "char_4gram"), other) | {"exact_addr": 200, "addr_sig": 200}
+    return Profile(most, scale, (), caps, dict(zip(("rare_token", "sig_token", "char_3gram", "char_4gram"), (*gates, gates[2]), strict=True)))
+
+
+PROFILES = {
+    "high": _profile(300, 1.0, (500, 400, 300, 300, 250, 150), 100, (400, 4000, 600)),
+    "balanced": _profile(150, 0.6, (250, 200, 150, 150, 100, 80), 50, (250, 2500, 300)),
+    "lean": _profile(80, 0.3, (100, 80, 60, 60, 50, 30), 25, (150, 1500, 150)),
+}
 
 
 def parse(records: DataFrame, unicode_text: bool = False) -> DataFrame:
@@ -55,8 +69,9 @@ def route_keys(parsed: DataFrame) -> DataFrame:
         "building": F.col("building"), "num_street": F.concat("building", F.lit("_"), "street"), "name_num": F.concat(first, F.lit("_"), "building"),
         "name_postal": F.concat(first, F.lit("_"), "pin"), "phonetic": F.col("phonetic"),
     }
+    long = F.filter("name_tokens", lambda t: F.length(t) >= 3)
     many = {
-        "rare_token": F.filter("name_tokens", lambda t: F.length(t) >= 3), "postal": F.col("postals"), "char_4gram": F.array_distinct(T.key_ngrams("n", 4)),
+        "rare_token": long, "sig_token": long, "postal": F.col("postals"), "char_4gram": F.array_distinct(T.key_ngrams("n", 4)),
         "char_3gram": F.array_distinct(T.key_ngrams("n", 3)), "word2gram": F.array_distinct(T.word_bigrams("n")),
     }
     tagged = lambda route: lambda k: F.struct(F.lit(route).alias("route"), k.alias("key"))
@@ -65,14 +80,15 @@ def route_keys(parsed: DataFrame) -> DataFrame:
     return out.where("key is not null and key <> ''")
 
 
-def blocked(queries: DataFrame, targets: DataFrame, caps: dict[str, int], gates: dict[str, int]) -> DataFrame:
-    """hits(s1_id, target_id, route): equal keys, first cap targets per key, keys over their gate left out."""
+def blocked(queries: DataFrame, targets: DataFrame, caps: dict[str, int], gates: dict[str, int], floors: dict[str, int] | None = None) -> DataFrame:
+    """hits(s1_id, target_id, route): equal keys, first cap targets per key, keys over their gate or not over their floor left out."""
     wanted = F.create_map(*[F.lit(x) for kv in caps.items() for x in kv])
     gate = F.create_map(*[F.lit(x) for r in caps for x in (r, gates.get(r, 0))])
+    floor = F.create_map(*[F.lit(x) for r in caps for x in (r, (floors or {}).get(r, 0))])
     keep = list(caps)
     t = targets.where(F.col("route").isin(keep)).join(queries.select("route", "key").distinct(), ["route", "key"], "left_semi")
     df = t.groupBy("route", "key").agg(F.count("*").alias("df"))
-    df = df.where((gate[F.col("route")] == 0) | (F.col("df") <= gate[F.col("route")])).select("route", "key")
+    df = df.where((gate[F.col("route")] == 0) | (F.col("df") <= gate[F.col("route")])).where(F.col("df") > floor[F.col("route")]).select("route", "key")
     order = W.partitionBy("route", "key").orderBy("src", "seq")
     most = max(caps.values())
     t = t.join(df, ["route", "key"], "left_semi").withColumn("rn", F.row_number().over(order)).where(f"rn <= {most}").where(F.col("rn") <= wanted[F.col("route")])
@@ -103,8 +119,9 @@ def union_provenance(hits: DataFrame, most: int = 0) -> DataFrame:
 def retrieve(queries: DataFrame, targets: DataFrame, profile: Profile) -> DataFrame:
     """Weighted retrieval: scores summed over hits, ranked by (routes, score, target) within the query."""
     names = profile.routes or tuple(ROUTES)
-    caps = {r: max(1, int(ROUTES[r][1] * profile.scale)) for r in names}
-    hits = blocked(queries, targets, caps, {r: ROUTES[r][2] for r in names})
+    caps = {r: profile.caps.get(r, max(1, int(ROUTES[r][1] * profile.scale))) for r in names}
+    gates = {r: profile.gates.get(r, ROUTES[r][2]) for r in ROUTES}
+    hits = blocked(queries, targets, caps, gates, {"sig_token": gates["rare_token"]})
     weight = F.create_map(*[F.lit(x) for r in names for x in (r, ROUTES[r][0])])
     p = hits.groupBy(*PAIR).agg(F.round(F.sum(weight[F.col("route")]), 6).alias("score"), F.countDistinct("route").alias("n_routes"))
     order = W.partitionBy("s1_id").orderBy(F.desc("n_routes"), F.desc("score"), "target_id")

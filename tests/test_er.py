@@ -102,6 +102,14 @@ def test_candidates_of_all_routes(spark, small):
     assert small["decide_global_nine_routes"](spark, "").count() == 2 and small["candidate_recall_nine_routes"](spark, "").first()["n_candidates"] == 5
 
 
+@pytest.mark.parametrize("name, want", [("high", {(5.0, 2): 100, (3.0, 1): 150}), ("balanced", {(2.0, 1): 80}), ("lean", {(2.0, 1): 30})])
+def test_profiles_find_names_by_their_common_tokens(spark, name, want):
+    rows = [("S1-1", "S1", 1, "mid zzz", "", "x")] + [(f"S2-{i}", "S2", i, f"mid q{chr(97 + i % 26)}{chr(97 + i // 26)}", "", "x") for i in range(380)]
+    keys = er.route_keys(er.parse(spark.createDataFrame(rows, "id string, src string, seq long, name string, addr string, country string")))
+    got = er.retrieve(keys.where("src = 'S1'"), keys.where("src <> 'S1'"), er.PROFILES[name]).collect()
+    assert Counter((r["score"], r["n_routes"]) for r in got) == want
+
+
 def test_tsv(spark, tmp_path):
     (tmp_path / "a.tsv").write_text("entity_id\tbusiness_name\tbusiness_address\tcountry\nS1-1\tA\t\tIN\nS1-1\tB\tx\tIN\n")
     t = tables.read_tsv(spark, str(tmp_path / "a.tsv"))
