@@ -24,12 +24,12 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class LangConfig:
-    """rows, chars: bound of the labelled sample per language (rows of smallest hash, whole texts up to chars
-    letters in all); lane: letters parsed in one lane."""
+    """rows, chars: bound of the labelled sample per language (rows of smallest hash, of any length, until chars
+    letters are reached; what goes beyond chars is not learnt). The samples are made equally long: all are cut to
+    the shortest language's letters, but not below a quarter of chars. lane: letters parsed in one lane."""
 
     rows: int = 100
     chars: int = 30_000
-    longest: int = 4_000
     lane: int = 400
     undecided: str = "und"
 
@@ -173,14 +173,17 @@ class LangModel:
 
 
 def training_texts(docs: DataFrame, c: LangConfig) -> dict[str, str]:
-    """Labelled text per language, equally much of each: at most `rows` whole texts of up to `longest` letters
-    each, by smallest hash of the text, until the smallest language's letters or `chars` are reached."""
+    """Labelled text per language, equally much of each: at most `rows` texts by smallest hash of the text, one at
+    least, until `chars` letters are reached; then as many letters of each as the shortest language has, but no
+    fewer than a quarter of `chars` where there are as many."""
     from pyspark.sql.types import StringType
 
-    docs = docs.where("lang is not null and text is not null").select(F.col("lang").cast(StringType()).alias("lang"), "text").where(F.length("text") <= c.longest)
+    docs = docs.where("lang is not null and text is not null").select(F.col("lang").cast(StringType()).alias("lang"), "text").where(F.col("text").rlike(r"\p{L}"))
     order = W.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
     got: dict[str, list[str]] = {}
-    for r in docs.select("lang", "text").distinct().withColumn("rn", F.row_number().over(order)).where(f"rn <= {c.rows}").orderBy("lang", "rn").collect():
+    first = docs.select("lang", "text").distinct().withColumn("rn", F.row_number().over(order)).where(f"rn <= {c.rows}")
+    before = F.sum(F.length(F.regexp_replace("text", r"[^\p{L}]+", " "))).over(W.partitionBy("lang").orderBy("rn").rowsBetween(W.unboundedPreceding, -1))
+    for r in first.withColumn("before", F.coalesce(before, F.lit(0))).where(f"before < {c.chars}").orderBy("lang", "rn").collect():
         got.setdefault(r["lang"], []).append(r["text"])
     joined = {lang: " ".join(_fold(" ".join(ts)).split()) for lang, ts in got.items()}
     joined = {lang: t for lang, t in joined.items() if t}

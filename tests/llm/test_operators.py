@@ -150,6 +150,18 @@ def test_language():
     assert got == ["en", "de", "und", "und", "und"] and score[2:] == [0, 0, 0] and all(0 <= s <= 1 for s in score)
 
 
+def test_language_learns_from_long_texts(spark):
+    en, de, junk = "the cat and the dog of the house " * 300, "der hund und die katze in dem haus " * 300, "1234 " * 20_000
+    rows = [("en", en), ("en", "the bird of the tree"), ("de", de), ("de", junk), ("fr", None)]
+    labelled = spark.createDataFrame(rows, "lang string, text string")
+    texts = langid.training_texts(labelled, langid.LangConfig())
+    assert set(texts) == {"en", "de"} and all(len(t) >= 9000 for t in texts.values())
+    docs = spark.createDataFrame([(1, "die katze und der hund"), (2, "the dog and the house")], "doc_id long, text string")
+    assert {r["doc_id"]: r["_lang_pred"] for r in langid.identify(spark, docs, labelled).collect()} == {1: "de", 2: "en"}
+    short = langid.training_texts(labelled, langid.LangConfig(chars=400))
+    assert {k: len(t) for k, t in short.items()} == {"de": 400, "en": 400}
+
+
 def test_html():
     page = '<html><nav><a href=x>Home</a></nav><div class="cookie-notice">We use the cookies of the site and more of them.</div><article><h1>A &amp; b</h1><p>The first of  the\nlines<p>and the second</article><footer>The end of it</footer>'
     assert html.main_text(page) == "A & b\nThe first of the lines\nand the second"
