@@ -16,7 +16,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = tokens.TokenConfig(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    c = tokens.TokenConfig(public_tokenizers.path("byte_bpe_50k.json"))
     return tokens.token_table(spark, _documents(spark, sf_dir), c)
 
 

@@ -51,7 +51,7 @@ def test_cluster_comparison_is_exact():
 def test_tokens(spark, docs):
     from tokenizers import Tokenizer
 
-    c = tokens.TokenConfig(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    c = tokens.TokenConfig(public_tokenizers.path("byte_bpe_50k.json"))
     t, start = Tokenizer.from_file(c.tokenizer), 0
     for r in sorted(tokens.token_table(spark, docs, c).collect()):
         ids = [*t.encode(TEXTS[r["doc_id"]] or "", add_special_tokens=False).ids, 2]
@@ -186,7 +186,7 @@ def test_html_after_unclosed_elements(name):
 
 def test_empty_tables(spark, docs):
     none = docs.limit(0)
-    c = tokens.TokenConfig(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    c = tokens.TokenConfig(public_tokenizers.path("byte_bpe_50k.json"))
     assert tokens.token_table(spark, none, c).count() == 0
     assert fingerprint.fingerprint_documents(spark, none).count() == 0
     assert pieces.encode_documents(none, pieces.PieceConfig(public_tokenizers.path("piece_bpe_32k.model"))).count() == 0
@@ -197,7 +197,7 @@ def test_empty_tables(spark, docs):
 
 
 def test_repeated_and_null_rows_of_token_files(spark):
-    c = tokens.TokenConfig(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    c = tokens.TokenConfig(public_tokenizers.path("byte_bpe_50k.json"))
     rows = [(1, "a b"), (1, "a b"), (None, "c"), (2, None), (3, "<|endoftext|> x")]
     got = tokens.token_table(spark, spark.createDataFrame(rows, "doc_id long, text string"), c).collect()
     assert sorted(r["doc_id"] for r in got if r["doc_id"] is not None) == [1, 1, 2, 3] and len(got) == 5
