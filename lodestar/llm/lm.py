@@ -1,21 +1,25 @@
 """Language-model scoring: a gated recurrent network with a class-factored output, in numpy.
 
 Vocabulary. Word counts are taken over all training documents. The `words` most frequent words are spelt
-out by the network in classes of `members`; every other word, known or not, belongs to one of 64 spelling
-classes (last byte, any byte beyond ASCII), within which it has its add-0.1 share of the class's count.
-So P(word | past) = softmax over classes x softmax within the class (or the share), a proper distribution.
+out by the network in classes of `members`; every other word, known or not, is a member of one further class
+by its spelling (64 kinds: last byte, any byte beyond ASCII), and has its add-0.1 share of that kind's count.
+So P(word | past) = softmax over classes x softmax within the class (x the share), a proper distribution.
 
 Learning. The network starts at the corpus's class and word frequencies, is warmed up on a bounded sample
-(`warm_docs` whole documents), then every task trains its share of all training documents by truncated
-backpropagation from there and the weights are averaged by token counts, task by task up a tree.
+(`warm_docs` whole documents, so that tasks begin alike), then every task trains its share of all training
+documents by truncated backpropagation and the weights are averaged by token counts, task by task up a tree.
 Scoring carries the state across windows from a document's first token to its end token.
 
 Counts of words beyond the `head` most frequent are joined by hash; words are told apart by a 64-bit hash.
-Defined results: null and empty texts have one token, the end; without training documents all counts are 0.
+Defined results: null and empty texts have one token, the end; without training documents all counts are 0;
+rows that repeat are scored, and learnt from, each; a null doc_id is not held out; words of equal count are
+all in or all out of the head; very long texts are read whole; an empty table gives no rows; columns other
+than doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
 import pickle
 import zlib
 from collections.abc import Iterator
@@ -32,16 +36,19 @@ from lodestar.llm.common import Scratch, Words, parts_for
 
 @dataclass(frozen=True)
 class LmConfig:
-    words: int = 2048
+    """words: spelt out by the network, in classes of members; head: counts that every task holds (words beyond them
+    are joined); hidden: size of the state; lanes, window: tokens of a training step; flush: tokens held in memory."""
+
+    words: int = 4096
     members: int = 64
     head: int = 262_144
     hidden: int = 24
-    lanes: int = 48
-    window: int = 24
-    rate: float = 0.006
+    lanes: int = 512
+    window: int = 16
+    rate: float = 0.012
     warm_docs: int = 600
     smooth: float = 0.1
-    flush: int = 4_000_000
+    flush: int = 3_000_000
     held_out_of: int = 10
 
 
@@ -59,8 +66,9 @@ def tokens_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hashes, spelling classes, first token of each text); every text ends in the end token."""
     w = Words(column)
     n, m = len(w.starts), len(w.bounds) - 1
-    wide = np.concatenate([[0], np.cumsum(w.data >= 128)])
-    cls = _LAST[w.data[w.ends - 1]] + 32 * (wide[w.ends] > wide[w.starts]) if n else np.zeros(0, np.int64)
+    cls = _LAST[w.data[w.ends - 1]] if n else np.zeros(0, np.int64)
+    wide = np.searchsorted(w.starts, np.flatnonzero(w.data >= 128), "right") - 1
+    cls[wide] |= 32  # bytes beyond ASCII are never white space, so each lies in a word
     bounds = w.bounds + np.arange(m + 1)
     at = np.arange(n) + w.doc
     h = np.full(n + m, END, dtype=np.int64)
@@ -110,7 +118,7 @@ class Lexicon:
         n, v = spelling_n.astype(np.float64).copy(), spelling_v.astype(np.float64).copy()
         np.subtract.at(n, cls[words], counts[words])
         np.subtract.at(v, cls[words], 1)
-        self.spelling_n = n
+        self.spelling_n = np.maximum(n, 0)
         self.share = np.log10(n + c.smooth * (v + 1))
 
     def look(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -122,56 +130,78 @@ class Lexicon:
         return np.where(hit, self.counts[at], -1), np.where(hit, self.place[at], -1)
 
     def symbols(self, word: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(input symbol, output class, member or -1) of each token."""
+        """(input symbol, output class, member) of each token: a word's group and place in it, or the class of
+        all other words and the spelling class, or the class of the end, whose member is -1."""
         m = self.c.members
-        spelt = word >= 0
-        return np.where(spelt, word, self.c.words + cls), np.where(spelt, word // m, self.groups + cls), np.where(spelt, word % m, -1)
+        spelt, end = word >= 0, cls == END_CLASS
+        group = np.where(spelt, word // m, self.groups + end)
+        return np.where(spelt, word, self.c.words + cls), group, np.where(spelt, word % m, np.where(end, -1, cls))
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    x = np.exp(np.negative(x, out=x), out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
+
+
+def _slices(sorted_groups: np.ndarray) -> list[tuple[int, slice]]:
+    """(group, its places) in an array of sorted group numbers."""
+    first = np.flatnonzero(np.diff(sorted_groups, prepend=-1)).tolist()
+    return [(int(sorted_groups[a]), slice(a, b)) for a, b in zip(first, [*first, len(sorted_groups)][1:], strict=True)]
 
 
 class GatedNet:
-    """Weights: G input gates by symbol (last row: start), U recurrent gates, b; C, bc classes; M, bm members."""
+    """Weights in float32. Gates (update, reset, new) come first: G by input symbol (last: start), U recurrent, b;
+    C, bc classes; M, bm members of each class of words and, last, the spelling classes of all other words."""
 
     NAMES = ("G", "U", "b", "C", "bc", "M", "bm")
 
     def __init__(self, lex: Lexicon, seed: int = 5):
         c, r = lex.c, np.random.default_rng(seed)
-        h, k, g = c.hidden, lex.groups + SPELLINGS, lex.groups
+        h, g, width = c.hidden, lex.groups, max(c.members, END_CLASS)
         f = lambda *s, scale=0.1: (r.normal(size=s) * scale).astype(np.float32)
-        self.h, self.members = h, c.members
-        self.G, self.U, self.b = f(c.words + SPELLINGS + 1, 3 * h, scale=0.3), f(h, 3 * h, scale=0.3), np.zeros(3 * h, np.float32)
-        self.b[:h] = 1.0
-        self.C, self.M = f(h, k, scale=0.05), f(g, h, c.members, scale=0.05)
-        counts = np.zeros(g * c.members)
-        counts[: len(lex.word_counts)] = lex.word_counts
-        grid = counts.reshape(g, c.members)
-        self.bm = np.log(grid + 1e-3).astype(np.float32)
-        self.bc = np.log(np.concatenate([grid.sum(axis=1), np.maximum(lex.spelling_n, 0)]) + 1.0).astype(np.float32)
+        self.h, self.start = h, c.words + SPELLINGS
+        self.G, self.U, self.b = f(3, self.start + 1, h, scale=0.3), f(3, h, h), np.zeros((3, 1, h), np.float32)
+        self.b[0] = 1.0
+        self.C, self.M = f(h, g + 2, scale=0.05), f(g + 1, h, width, scale=0.05)
+        counts = np.full((g + 1, width), -1.0)
+        cells = np.full(g * c.members, -1.0)
+        cells[: len(lex.word_counts)] = lex.word_counts
+        counts[:g, : c.members] = cells.reshape(g, c.members)
+        counts[g, :END_CLASS] = lex.spelling_n[:END_CLASS]
+        # a member that stands for no word gets next to nothing
+        self.bm = np.where(counts < 0, -30, np.log(np.maximum(counts, 0) + 0.1)).astype(np.float32)
+        self.bc = np.log(np.append(np.maximum(counts, 0).sum(axis=1), lex.spelling_n[END_CLASS]) + 1.0).astype(np.float32)
 
     def step(self, gates: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-        k, u = self.h, h @ self.U
-        zr = _sigmoid(gates[:, : 2 * k] + u[:, : 2 * k])
-        z, r = zr[:, :k], zr[:, k:]
-        n = np.tanh(gates[:, 2 * k :] + r * u[:, 2 * k :])
-        return n + z * (h - n), z, r, n, u[:, 2 * k :]
+        """(new state, update gate, reset gate, candidate, recurrent part of the candidate); gates: (3, rows, h)."""
+        u = np.matmul(h, self.U)
+        zr = u[:2]
+        zr += gates[:2]
+        z, r = _sigmoid(zr)
+        n = r * u[2]
+        n += gates[2]
+        np.tanh(n, out=n)
+        new = h - n
+        new *= z
+        new += n
+        return new, z, r, n, u[2]
 
     def log_probs(self, h: np.ndarray, cls: np.ndarray, member: np.ndarray) -> np.ndarray:
         """Natural log of class and member probabilities after states h."""
-        logits = h @ self.C + self.bc
-        top = logits.max(axis=1)
-        out = logits[np.arange(len(h)), cls] - top - np.log(np.exp(logits - top[:, None]).sum(axis=1))
-        at = np.flatnonzero(member >= 0)
-        at = at[np.argsort(cls[at], kind="stable")]
-        group = cls[at]
-        cuts = np.flatnonzero(np.diff(group, prepend=-1))
-        for a, b in zip(cuts, np.append(cuts[1:], len(at)), strict=False):
-            rows, g = at[a:b], group[a]
-            l2 = h[rows] @ self.M[g] + self.bm[g]
-            top = l2.max(axis=1)
-            out[rows] += l2[np.arange(len(rows)), member[rows]] - top - np.log(np.exp(l2 - top[:, None]).sum(axis=1))
+        order = np.argsort(cls.astype(np.uint16), kind="stable")
+        cls, member, h = cls[order], member[order], h[order]
+        got = np.empty(len(h), dtype=np.float64)
+        for a in range(0, len(h), 8192):
+            rows = slice(a, min(a + 8192, len(h)))
+            got[rows] = _chosen(h[rows] @ self.C, self.bc, cls[rows])
+        for g, rows in _slices(cls):
+            if g < len(self.M):
+                for a in range(rows.start, rows.stop, 8192):
+                    part = slice(a, min(a + 8192, rows.stop))
+                    got[part] += _chosen(h[part] @ self.M[g], self.bm[g], member[part])
+        out = np.empty(len(h), dtype=np.float64)
+        out[order] = got
         return out
 
     def score(self, sym: np.ndarray, cls: np.ndarray, member: np.ndarray, bounds: np.ndarray, window: int = 64) -> np.ndarray:
@@ -180,17 +210,18 @@ class GatedNet:
         order = np.argsort(-size, kind="stable")
         size, begin = size[order], bounds[:-1][order]
         total = np.zeros(len(order))
-        table = self.G + self.b
         h = np.zeros((len(order), self.h), dtype=np.float32)
-        sym_in = np.concatenate([[len(self.G) - 1], sym])  # shifted by one
+        sym_in = np.concatenate([[self.start], sym])  # shifted by one
         longest = int(size[0]) if len(size) else 0
+        # texts longer than t come first
+        live = np.searchsorted(-size, -np.arange(longest), "left")
+        table = self.G + self.b
         for t0 in range(0, longest, window):
             rows, at, states = [], [], []
             for t in range(t0, min(longest, t0 + window)):
-                n = int(np.searchsorted(-size, -t, "left"))  # texts longer than t come first
+                n = int(live[t])
                 pos = begin[:n] + t
-                gates = table[sym_in[pos]] if t else np.broadcast_to(table[-1], (n, 3 * self.h))
-                h = self.step(gates, h[:n])[0]
+                h = self.step(table[:, sym_in[pos] if t else np.full(n, self.start)], h[:n])[0]
                 rows.append(np.arange(n))
                 at.append(pos)
                 states.append(h)
@@ -202,7 +233,7 @@ class GatedNet:
         return out
 
     def pack(self) -> np.ndarray:
-        return np.concatenate([getattr(self, n).ravel() for n in self.NAMES]).astype(np.float64)
+        return np.concatenate([getattr(self, n).ravel() for n in self.NAMES])
 
     def unpack(self, flat: np.ndarray) -> GatedNet:
         at = 0
@@ -213,8 +244,32 @@ class GatedNet:
         return self
 
 
+def _chosen(logits: np.ndarray, bias: np.ndarray, choice: np.ndarray) -> np.ndarray:
+    """Log probability of the chosen column of each row; overwrites logits."""
+    logits += bias
+    logits -= logits.max(axis=1, keepdims=True)
+    got = logits[np.arange(len(logits)), choice]
+    np.exp(logits, out=logits)
+    return got - np.log(logits @ np.ones(logits.shape[1], np.float32))
+
+
+def _off(logits: np.ndarray, bias: np.ndarray, weights: np.ndarray, choice: np.ndarray, size: int) -> np.ndarray:
+    """Gradient of the mean loss by logits: probabilities less the choice, over size; overwrites logits."""
+    top = bias.max()
+    logits += bias - top
+    if np.abs(weights).sum(axis=0).max() > 60:  # else no logit, from states below 1, is out of exp's range
+        logits -= logits.max(axis=1, keepdims=True)
+    np.exp(logits, out=logits)
+    logits *= (np.float32(1 / size) / (logits @ np.ones(logits.shape[1], np.float32)))[:, None]
+    logits[np.arange(len(logits)), choice] -= np.float32(1 / size)
+    return logits
+
+
 class Trainer:
-    """Truncated backpropagation in windows over lanes of whole documents; the state resets at a document's start."""
+    """Truncated backpropagation in windows over lanes of whole documents; the state resets at a document's start.
+
+    Adam's moments of the input gates move only for the symbols that a window holds.
+    """
 
     def __init__(self, net: GatedNet, c: LmConfig):
         self.net, self.c, self.t = net, c, 0
@@ -229,77 +284,106 @@ class Trainer:
         steps = len(sym) // lanes
         start = np.zeros(len(sym), dtype=bool)
         start[bounds[:-1][np.diff(bounds) > 0]] = True
-        prev = np.concatenate([[len(net.G) - 1], sym[:-1]])
-        prev[start] = len(net.G) - 1
+        prev = np.concatenate([[net.start], sym[:-1]])
+        prev[start] = net.start
         rest = [x[lanes * steps :, None] for x in (prev, cls, member, start)]
-        grid = lambda x: x[: lanes * steps].reshape(lanes, steps).T
+        grid = lambda x: np.ascontiguousarray(x[: lanes * steps].reshape(lanes, steps).T)
         prev, cls, member, start = grid(prev), grid(cls), grid(member), grid(start)
         h = np.zeros((lanes, net.h), dtype=np.float32)
         for a in range(0, steps, c.window):
             b = min(steps, a + c.window)
             h = self._window(prev[a:b], cls[a:b], member[a:b], start[a:b], h)
-        h = h[-1:]  # what the lanes leave over goes on from the last one
-        for a in range(0, len(rest[0]), c.window):
-            h = self._window(*(x[a : a + c.window] for x in rest), h)
+        if len(rest[0]):  # what the lanes leave over, fewer tokens than lanes, goes on from the last one
+            self._window(*rest, h[-1:])
 
     def _window(self, x, cls, member, start, h):
         net, k = self.net, self.net.h
-        kept, hs = [], []
-        for t in range(len(x)):
-            h = h * ~start[t][:, None]
-            new, z, r, n, un = net.step(net.G[x[t]] + net.b, h)
-            kept.append((h, z, r, n, un))
-            hs.append(new)
-            h = new
-        flat, c1, m1 = np.concatenate(hs), cls.ravel(), member.ravel()
-        size = len(flat)
-        grad = {n: np.zeros_like(getattr(net, n)) for n in net.NAMES}
-        p = flat @ net.C + net.bc
-        p = np.exp(p - p.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
-        p[np.arange(size), c1] -= 1
-        p /= size
+        steps, lanes = x.shape
+        size = steps * lanes
+        gates = np.take(net.G, x.ravel(), axis=1)
+        gates += net.b
+        gates = gates.reshape(3, steps, lanes, k)
+        kept, before, after = [], np.empty((steps, lanes, k), np.float32), np.empty((steps, lanes, k), np.float32)
+        fresh = start.any(axis=1)
+        for t in range(steps):
+            if fresh[t]:
+                h = h * ~start[t][:, None]
+            before[t] = h
+            h, *rest = net.step(gates[:, t], h)
+            after[t] = h
+            kept.append(rest)
+        grad = {}
+        order = np.argsort(cls.ravel().astype(np.uint16), kind="stable")
+        flat, c1, m1 = after.reshape(size, k)[order], cls.ravel()[order], member.ravel()[order]
+        p = _off(flat @ net.C, net.bc, net.C, c1, size)
         grad["C"], grad["bc"] = flat.T @ p, p.sum(axis=0)
-        dh_out = p @ net.C.T
-        at = np.flatnonzero(m1 >= 0)
-        for g in np.unique(c1[at]):
-            rows = at[c1[at] == g]
-            q = flat[rows] @ net.M[g] + net.bm[g]
-            q = np.exp(q - q.max(axis=1, keepdims=True))
-            q /= q.sum(axis=1, keepdims=True)
-            q[np.arange(len(rows)), m1[rows]] -= 1
-            q /= size
-            grad["M"][g], grad["bm"][g] = flat[rows].T @ q, q.sum(axis=0)
-            dh_out[rows] += q @ net.M[g].T
-        lanes = x.shape[1]
-        dh_out = dh_out.reshape(len(x), lanes, k)
+        out = p @ net.C.T
+        grad["M"], grad["bm"] = np.zeros_like(net.M), np.zeros_like(net.bm)
+        for g, rows in _slices(c1):
+            if g < len(net.M):
+                some, weights = flat[rows], net.M[g]
+                q = _off(some @ weights, net.bm[g], weights, m1[rows], size)
+                np.matmul(some.T, q, out=grad["M"][g])
+                q.sum(axis=0, out=grad["bm"][g])
+                out[rows] += q @ weights.T
+        back = np.empty_like(out)
+        back[order] = out
+        back = back.reshape(steps, lanes, k)
+        turned = np.ascontiguousarray(net.U.transpose(0, 2, 1)).reshape(3 * k, k)
+        by_gate, by_u = np.empty((size, 3 * k), np.float32), np.empty((steps, lanes, 3 * k), np.float32)
+        per_step = by_gate.reshape(steps, lanes, 3 * k)
         dh = np.zeros((lanes, k), dtype=np.float32)
-        for t in reversed(range(len(x))):
-            h0, z, r, n, un = kept[t]
-            dh = dh + dh_out[t]
-            dz = dh * (h0 - n) * z * (1 - z)
-            dn = dh * (1 - z) * (1 - n * n)
-            dr = dn * un * r * (1 - r)
-            gates = np.concatenate([dz, dr, dn], axis=1)
-            inner = np.concatenate([dz, dr, dn * r], axis=1)
-            np.add.at(grad["G"], x[t], gates)
-            grad["b"] += gates.sum(axis=0)
-            grad["U"] += h0.T @ inner
-            dh = (dh * z + inner @ net.U.T) * ~start[t][:, None]
-        self._adam(grad)
+        for t in range(steps - 1, -1, -1):
+            z, r, n, un = kept[t]
+            dh += back[t]
+            dn = dh * (1 - z)
+            dz = dn * z
+            dz *= before[t] - n
+            dn *= 1 - n * n
+            inner = dn * r
+            dr = inner * un
+            dr *= 1 - r
+            for to, last in ((per_step[t], dn), (by_u[t], inner)):
+                to[:, :k], to[:, k : 2 * k], to[:, 2 * k :] = dz, dr, last
+            dh = dh * z
+            dh += by_u[t] @ turned
+            if fresh[t]:
+                dh *= ~start[t][:, None]
+        grad["U"] = np.ascontiguousarray((before.reshape(size, k).T @ by_u.reshape(size, 3 * k)).reshape(k, 3, k).transpose(1, 0, 2))
+        order = np.argsort(x.ravel().astype(np.uint16 if net.start < 65536 else np.int64), kind="stable")
+        symbol = x.ravel()[order]
+        first = np.flatnonzero(np.diff(symbol, prepend=-1))
+        sums = np.cumsum(np.take(by_gate, order, axis=0), axis=0, dtype=np.float32)
+        grad["b"] = sums[-1].reshape(3, 1, k).copy()
+        sums = np.diff(sums[np.append(first[1:], size) - 1], axis=0, prepend=np.zeros((1, 3 * k), np.float32))
+        grad["G"] = np.ascontiguousarray(sums.reshape(-1, 3, k).transpose(1, 0, 2))
+        self._adam(grad, symbol[first])
         return h
 
-    def _adam(self, grad) -> None:
+    def _adam(self, grad, symbols) -> None:
         self.t += 1
-        norm = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
-        scale = min(1.0, 1.0 / (norm + 1e-9))
-        rate = self.c.rate * np.sqrt(1 - 0.999**self.t) / (1 - 0.9**self.t)
+        norm = math.sqrt(sum(float(np.vdot(g, g)) for g in grad.values()))
+        scale = np.float32(min(1.0, 1.0 / (norm + 1e-9)))
+        rate = np.float32(self.c.rate * math.sqrt(1 - 0.999**self.t) / (1 - 0.9**self.t))
         for n, g in grad.items():
-            g = g * scale
-            m, v = self.m[n], self.v[n]
-            m += 0.1 * (g - m)
-            v += 0.001 * (g * g - v)
-            setattr(self.net, n, (getattr(self.net, n) - rate * m / (np.sqrt(v) + 1e-8)).astype(np.float32))
+            w, m, v = getattr(self.net, n), self.m[n], self.v[n]
+            if n == "G":
+                w0, m0, v0 = w, m, v
+                w, m, v = (np.take(x, symbols, axis=1) for x in (w, m, v))
+            g *= scale
+            m *= np.float32(0.9)
+            m += np.float32(0.1) * g
+            g *= g
+            g *= np.float32(0.001)
+            v *= np.float32(0.999)
+            v += g
+            np.sqrt(v, out=g)
+            g += np.float32(1e-8)
+            np.divide(m, g, out=g)
+            g *= rate
+            w -= g
+            if n == "G":
+                w0[:, symbols], m0[:, symbols], v0[:, symbols] = w, m, v
 
 
 def _sequences(lex: Lexicon, column: pa.Array):
@@ -317,19 +401,24 @@ def _train(blob: bytes):
             trainer.run(*seq)
             n += len(seq[0])
         if n:
-            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([net.pack() * n], pa.list_(pa.float64()))], names=["n", "w"])
+            yield _weights(n, net.pack())
 
     return run
 
 
-def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _weights(n: int, w: np.ndarray) -> pa.RecordBatch:
+    """Weights that n tokens have trained, as float32 bytes."""
+    return pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([w.astype("<f4").tobytes()], pa.binary())], names=["n", "w"])
+
+
+def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     n, w = 0, None
     for batch in batches:
         for k, x in zip(batch.column("n").to_pylist(), batch.column("w"), strict=True):
-            x = np.asarray(x.values, dtype=np.float64)
+            x = np.frombuffer(x.as_buffer(), dtype="<f4") * float(k)
             n, w = n + k, x if w is None else w + x
     if w is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([w], pa.list_(pa.float64()))], names=["n", "w"])
+        yield _weights(n, w / n)
 
 
 SCORED = "row long, doc_id long, held_out boolean, n_tokens long, known long, counts double, spelt double, rare array<long>, times array<int>"
@@ -351,15 +440,15 @@ def _score(blob: bytes):
             bounds = np.concatenate([[0], np.cumsum(size)])
             neural = net.score(*(np.concatenate([p[k] for p in parts]) for k in (2, 3, 4)), bounds) / np.log(10)
             at = 0
-            for ids, held_out, _, cls, member, bo, counts, h in parts:
+            for ids, held_out, _, _, _, bo, counts, h, unspelt, cls in parts:
                 m, n = len(bo) - 1, len(cls)
                 doc = np.repeat(np.arange(m), np.diff(bo))
-                head, unspelt = counts >= 0, member < 0
+                head = counts >= 0
                 logs = np.log10(np.maximum(counts, 0) + c.smooth)
                 total = lambda x, doc=doc, m=m: np.bincount(doc, x, m)
                 # what joining the rare words will add to both sums is left out of both here
                 base = total(np.where(head, logs, 0))
-                spelt = neural[at : at + m] + total(np.where(unspelt, np.where(head, logs, 0) - lex.share[np.maximum(cls - lex.groups, 0)], 0))
+                spelt = neural[at : at + m] + total(np.where(unspelt, np.where(head, logs, 0) - lex.share[cls], 0))
                 known = total(counts > 0)
                 rare_at = np.flatnonzero(~head)
                 key = np.stack([doc[rare_at], h[rare_at]]) if n else np.zeros((2, 0), np.int64)
@@ -380,9 +469,9 @@ def _score(blob: bytes):
         for batch in batches:
             h, cls, bounds = tokens_of(batch.column("text"))
             counts, word = lex.look(h)
-            parts.append((batch.column("doc_id"), batch.column("held_out"), *lex.symbols(word, cls), bounds, counts, h))
+            parts.append((batch.column("doc_id"), batch.column("held_out"), *lex.symbols(word, cls), bounds, counts, h, word < 0, cls))
             held += len(h)
-            if held >= 1_500_000:
+            if held >= c.flush:
                 yield from flush()
                 parts, held = [], 0
         if parts:
@@ -391,10 +480,25 @@ def _score(blob: bytes):
     return run
 
 
+def frequent(counts: DataFrame, most: int) -> DataFrame:
+    """The rows of counts (n) whose n is so large that there are at most `most` of them, ties all in or all out.
+
+    Only a histogram by n, at 16 steps to a doubling, comes to the driver.
+    """
+    step = F.floor(F.log2("n") * 16).cast("int")
+    steps = counts.groupBy(step.alias("s")).agg(F.count("*").alias("k")).orderBy(F.desc("s")).collect()  # at most 1,024 rows
+    held, least = 0, 1 << 20
+    for r in steps:
+        if held + r["k"] > most:
+            break
+        held, least = held + r["k"], r["s"]
+    return counts.where(step >= least)
+
+
 def train(spark: SparkSession, docs: DataFrame, counts: DataFrame, c: LmConfig) -> tuple[Lexicon, GatedNet]:
     """docs: text, turn (a hash that picks the warm-up); counts: h, cls, n of their words."""
     total, distinct = counts.agg(F.sum("n"), F.count("*")).first()
-    top = counts.orderBy(F.desc("n"), "h").limit(c.head).toPandas()
+    top = frequent(counts, c.head).toPandas()  # at most head rows
     per = counts.groupBy("cls").agg(F.sum("n").alias("n"), F.count("*").alias("v")).toPandas()  # at most 65 rows
     n, v = np.zeros(SPELLINGS), np.zeros(SPELLINGS)
     n[per["cls"]], v[per["cls"]] = per["n"], per["v"]
@@ -405,12 +509,12 @@ def train(spark: SparkSession, docs: DataFrame, counts: DataFrame, c: LmConfig)
     if len(warm):
         Trainer(net, c).run(*_sequences(lex, pa.array(warm["text"].tolist(), pa.string())))
     blob = zlib.compress(pickle.dumps((lex, net)), 1)
-    sums, parts = docs.select("text").mapInArrow(_train(blob), "n long, w array<double>"), parts_for(spark)
+    trained, parts = docs.select("text").mapInArrow(_train(blob), "n long, w binary"), parts_for(spark)
     while parts > 1:
         parts = -(-parts // 16)
-        sums = sums.repartition(parts).mapInArrow(_add_up, "n long, w array<double>")
-    for r in sums.collect():  # one row
-        net.unpack(np.array(r["w"]) / r["n"])
+        trained = trained.repartition(parts).mapInArrow(_average, "n long, w binary")
+    for r in trained.collect():  # one row
+        net.unpack(np.frombuffer(r["w"], dtype="<f4"))
     return lex, net
 
 
