@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,9 +14,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set here only where the session has none (tests)."""
+    """The folder that driver and executors share. Where the session names none, a local session (as in tests)
+    gets one of its own; on a cluster that's an error, for executors can't see the driver's folders."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         import tempfile
 
         path = "file://" + tempfile.mkdtemp(prefix="lodestar-shared-")
@@ -31,8 +36,6 @@ class Scratch:
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
-        if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
-            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
         jvm = spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.root)
         self._fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -137,8 +140,15 @@ class Words:
         return mix64(out)
 
 
-def take_binary(rows: list[bytes]) -> pa.Array:
-    return pa.array(rows, type=pa.binary())
+def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 4 << 20, rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most `rows` rows and about `most` bytes of a column, one row at least."""
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        a = 0
+        while a < len(size):
+            b = a + max(1, int(np.searchsorted(np.cumsum(size[a : a + rows]), most, "right")))
+            yield batch.slice(a, b - a)
+            a = b
 
 
 # --- connected components --------------------------------------------------------------------

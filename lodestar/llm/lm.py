@@ -6,7 +6,7 @@ by its spelling (64 kinds: last byte, any byte beyond ASCII), and has its add-0.
 So P(word | past) = softmax over classes x softmax within the class (x the share), a proper distribution.
 
 Learning. The network starts at the corpus's class and word frequencies, is warmed up on a bounded sample
-(`warm_docs` whole documents, so that tasks begin alike), then every task trains its share of all training
+(about `warm_docs` whole documents, so that tasks begin alike), then every task trains its share of all training
 documents by truncated backpropagation and the weights are averaged by token counts, task by task up a tree.
 Scoring carries the state across windows from a document's first token to its end token.
 
@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import Scratch, Words, parts_for
+from lodestar.llm.common import Scratch, Words, parts_for, text_slices
 
 
 @dataclass(frozen=True)
@@ -42,7 +42,7 @@ class LmConfig:
     words: int = 4096
     members: int = 64
     head: int = 262_144
-    hidden: int = 24
+    hidden: int = 16
     lanes: int = 512
     window: int = 16
     rate: float = 0.012
@@ -87,7 +87,7 @@ def _count(c: LmConfig):
             u, first, n = np.unique(h, return_index=True, return_counts=True)
             return pa.RecordBatch.from_arrays([pa.array(u), pa.array(k[first].astype(np.int32)), pa.array(n.astype(np.int64))], names=["h", "cls", "n"])
 
-        for batch in batches:
+        for batch in text_slices(batches):
             h, k, _ = tokens_of(batch.column("text"))
             hs.append(h)
             cs.append(k.astype(np.int8))
@@ -150,6 +150,12 @@ def _slices(sorted_groups: np.ndarray) -> list[tuple[int, slice]]:
     return [(int(sorted_groups[a]), slice(a, b)) for a, b in zip(first, [*first, len(sorted_groups)][1:], strict=True)]
 
 
+def _parts(rows: slice, size: int = 1024) -> Iterator[slice]:
+    """A slice in parts whose logits stay in a core's own cache."""
+    for a in range(rows.start, rows.stop, size):
+        yield slice(a, min(a + size, rows.stop))
+
+
 class GatedNet:
     """Weights in float32. Gates (update, reset, new) come first: G by input symbol (last: start), U recurrent, b;
     C, bc classes; M, bm members of each class of words and, last, the spelling classes of all other words."""
@@ -192,13 +198,11 @@ class GatedNet:
         order = np.argsort(cls.astype(np.uint16), kind="stable")
         cls, member, h = cls[order], member[order], h[order]
         got = np.empty(len(h), dtype=np.float64)
-        for a in range(0, len(h), 8192):
-            rows = slice(a, min(a + 8192, len(h)))
-            got[rows] = _chosen(h[rows] @ self.C, self.bc, cls[rows])
+        for part in _parts(slice(0, len(h))):
+            got[part] = _chosen(h[part] @ self.C, self.bc, cls[part])
         for g, rows in _slices(cls):
             if g < len(self.M):
-                for a in range(rows.start, rows.stop, 8192):
-                    part = slice(a, min(a + 8192, rows.stop))
+                for part in _parts(rows):
                     got[part] += _chosen(h[part] @ self.M[g], self.bm[g], member[part])
         out = np.empty(len(h), dtype=np.float64)
         out[order] = got
@@ -315,17 +319,22 @@ class Trainer:
         grad = {}
         order = np.argsort(cls.ravel().astype(np.uint16), kind="stable")
         flat, c1, m1 = after.reshape(size, k)[order], cls.ravel()[order], member.ravel()[order]
-        p = _off(flat @ net.C, net.bc, net.C, c1, size)
-        grad["C"], grad["bc"] = flat.T @ p, p.sum(axis=0)
-        out = p @ net.C.T
-        grad["M"], grad["bm"] = np.zeros_like(net.M), np.zeros_like(net.bm)
+        for name in ("C", "bc", "M", "bm"):
+            grad[name] = np.zeros_like(getattr(net, name))
+        out, back = np.empty_like(flat), np.ascontiguousarray(net.C.T)
+        for part in _parts(slice(0, size)):
+            p = _off(flat[part] @ net.C, net.bc, net.C, c1[part], size)
+            grad["C"] += flat[part].T @ p
+            grad["bc"] += np.ones(len(p), np.float32) @ p
+            np.matmul(p, back, out=out[part])
         for g, rows in _slices(c1):
             if g < len(net.M):
-                some, weights = flat[rows], net.M[g]
-                q = _off(some @ weights, net.bm[g], weights, m1[rows], size)
-                np.matmul(some.T, q, out=grad["M"][g])
-                q.sum(axis=0, out=grad["bm"][g])
-                out[rows] += q @ weights.T
+                weights, back = net.M[g], np.ascontiguousarray(net.M[g].T)
+                for part in _parts(rows):
+                    q = _off(flat[part] @ weights, net.bm[g], weights, m1[part], size)
+                    grad["M"][g] += flat[part].T @ q
+                    grad["bm"][g] += np.ones(len(q), np.float32) @ q
+                    out[part] += q @ back
         back = np.empty_like(out)
         back[order] = out
         back = back.reshape(steps, lanes, k)
@@ -396,7 +405,7 @@ def _train(blob: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex, net = pickle.loads(zlib.decompress(blob))
         trainer, n = Trainer(net, lex.c), 0
-        for batch in batches:
+        for batch in text_slices(batches):
             seq = _sequences(lex, batch.column("text"))
             trainer.run(*seq)
             n += len(seq[0])
@@ -466,7 +475,7 @@ def _score(blob: bytes):
                 at += m
                 row += m
 
-        for batch in batches:
+        for batch in text_slices(batches):
             h, cls, bounds = tokens_of(batch.column("text"))
             counts, word = lex.look(h)
             parts.append((batch.column("doc_id"), batch.column("held_out"), *lex.symbols(word, cls), bounds, counts, h, word < 0, cls))
@@ -496,7 +505,7 @@ def frequent(counts: DataFrame, most: int) -> DataFrame:
 
 
 def train(spark: SparkSession, docs: DataFrame, counts: DataFrame, c: LmConfig) -> tuple[Lexicon, GatedNet]:
-    """docs: text, turn (a hash that picks the warm-up); counts: h, cls, n of their words."""
+    """docs: text, turn (with the text's hash it picks the warm-up); counts: h, cls, n of their words."""
     total, distinct = counts.agg(F.sum("n"), F.count("*")).first()
     top = frequent(counts, c.head).toPandas()  # at most head rows
     per = counts.groupBy("cls").agg(F.sum("n").alias("n"), F.count("*").alias("v")).toPandas()  # at most 65 rows
@@ -505,7 +514,10 @@ def train(spark: SparkSession, docs: DataFrame, counts: DataFrame, c: LmConfig)
     top = top.sort_values(["n", "h"], ascending=[False, True])
     lex = Lexicon(c, top["h"].to_numpy(np.int64), top["n"].to_numpy(np.int64), top["cls"].to_numpy(np.int64), n, v, int(total or 0), int(distinct))
     net = GatedNet(lex)
-    warm = docs.select("turn", "text").where(F.col("turn") % 16 == 1).orderBy("turn", "text").limit(c.warm_docs).select("text").toPandas()
+    # about warm_docs of the documents, those of the smallest hashes: no partition sends more than its share
+    few = F.lit(float(c.warm_docs)) / F.greatest(F.lit(1), F.lit(docs.count()))
+    place = F.shiftrightunsigned(F.xxhash64("turn", "text"), 11) / F.lit(float(2**53))
+    warm = docs.select(place.alias("place"), "text").where(F.col("place") < few).distinct().orderBy("place", "text").limit(2 * c.warm_docs).select("text").toPandas()
     if len(warm):
         Trainer(net, c).run(*_sequences(lex, pa.array(warm["text"].tolist(), pa.string())))
     blob = zlib.compress(pickle.dumps((lex, net)), 1)

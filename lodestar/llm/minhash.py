@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import Scratch, Words, connected_components, mix64
+from lodestar.llm.common import Scratch, Words, connected_components, mix64, text_slices
 
 
 @dataclass(frozen=True)
@@ -103,7 +103,7 @@ def signature(hashes: np.ndarray, c: MinHashConfig) -> tuple[np.ndarray, np.ndar
 
 def _sign(c: MinHashConfig):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in text_slices(batches):
             sizes, digests, keys, odd = [], [], [], []
             for hs in shingle_sets(Words(batch.column("text")), c.shingle):
                 sizes.append(len(hs))
@@ -125,7 +125,7 @@ def _verify(c: MinHashConfig):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, mine = None, None
-        for batch in batches:
+        for batch in text_slices(batches):
             a, b = [], []
             lead, doc = batch.column("a").to_pylist(), batch.column("doc_id").to_pylist()
             for x, y, hs in zip(lead, doc, shingle_sets(Words(batch.column("text")), c.shingle), strict=True):

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestar.llm.common import text_slices
+
 MARK = "▁"
 
 
@@ -224,15 +226,13 @@ def encode_documents(docs: DataFrame, c: PieceConfig) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = piece_model(c)
-        for batch in batches:
-            for i in range(0, batch.num_rows, 250):
-                part = batch.slice(i, 250)
-                texts = [x or "" for x in part.column("text").to_pylist()]
-                ids = m.encode_batch(texts)
-                back = [m.decode(np.frombuffer(x, dtype=m.dtype)) for x in ids]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(map(len, texts), pa.int64()), pa.array([len(x) // m.width for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(back, pa.string())], names=names
-                )
+        for part in text_slices(batches, rows=250):
+            texts = [x or "" for x in part.column("text").to_pylist()]
+            ids = m.encode_batch(texts)
+            back = [m.decode(np.frombuffer(x, dtype=m.dtype)) for x in ids]
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id"), pa.array(map(len, texts), pa.int64()), pa.array([len(x) // m.width for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(back, pa.string())], names=names
+            )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_chars long, n_pieces long, pieces binary, decoded string")

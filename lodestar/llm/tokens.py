@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import Scratch, parts_for
+from lodestar.llm.common import Scratch, parts_for, text_slices
 
 
 @dataclass(frozen=True)
@@ -225,7 +225,8 @@ def encoder(c: TokenConfig) -> WordEncoder:
 def _encode(c: TokenConfig):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(c)
-        held, size = [], 0
+        held: list[pa.RecordBatch] = []
+        size = 0
 
         def done() -> pa.RecordBatch:
             texts = pa.concat_arrays([x.column("text") for x in held])
@@ -234,30 +235,19 @@ def _encode(c: TokenConfig):
             binary = pa.BinaryArray.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(offsets), pa.py_buffer(ids.tobytes())])
             return pa.RecordBatch.from_arrays([pa.concat_arrays([x.column("doc_id") for x in held]), pa.array(np.diff(ends, prepend=0).astype(np.int64)), binary], names=["doc_id", "n_tokens", "ids"])
 
-        for batch in batches:
-            for i, bytes_ in _slices(batch, c.batch_bytes):
-                if size and size + bytes_ > c.batch_bytes:
-                    yield done()
-                    held, size = [], 0
-                held.append(i)
-                size += bytes_
+        for part in text_slices(batches, most=c.batch_bytes, rows=1 << 20):
+            n = pc.sum(pc.binary_length(part.column("text"))).as_py() or 0
+            if held and size + n > c.batch_bytes:
+                yield done()
+                held, size = [], 0
+            held.append(part)
+            size += n
         if held:
             yield done()
 
     return run
 
 
-def _slices(batch: pa.RecordBatch, most: int) -> Iterator[tuple[pa.RecordBatch, int]]:
-    """Slices of a batch of at most about `most` bytes of text (one text at least), with their sizes."""
-    size = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    a = 0
-    while a < len(size):
-        upto = np.cumsum(size[a:])
-        b = a + max(1, int(np.searchsorted(upto, most, "right")))
-        yield batch.slice(a, b - a), int(upto[b - a - 1])
-        a = b
-
-
 def _count(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, dtype=np.int64)
