@@ -5,8 +5,15 @@ article text (navigation, footers, asides, forms, notices, adverts, comments, sc
 element or its class and id names. Pass two lets the undecided short blocks inherit the label of their
 nearest decided neighbours: good if both sides are good, or the nearer one is.
 
-Defined results: null html and pages without blocks give an empty text; unclosed and stray tags are
-tolerated; nothing is cut off, however long a page is.
+A class or id name doesn't condemn a wrapper: an element that holds an article, a first headline or most of the
+page's text stands, unless its name is that of comments, footers, menus or notices. On pages in a language
+whose function words aren't listed, length and link density alone decide.
+
+Defined results: null html and pages without blocks give an empty text; unclosed and stray tags are tolerated;
+a quote that is never closed ends with its tag, a comment that is never closed at its first '>', a last tag
+without its '>' is dropped; nothing else is cut off, however long a page is, and the time taken grows with its
+length; rows that repeat get the same result each; an empty table gives no rows; columns other than page_id,
+url and html are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,13 +42,18 @@ SKIPPED = frozenset("script style noscript template svg math head iframe object
 BAD_TAGS = frozenset("nav footer aside form menu dialog fieldset header".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-BAD_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|comments?|comment-?list|disqus|replies|respond|cookies?|consent|gdpr|notice|popup|modal|overlay|newsletter|subscribe|signup|login|"
-    r"nav\w*|menu\w*|breadcrumbs?|sidebar\w*|footer\w*|header|masthead|topbar|toolbar|pagination|pager|share|sharing|social\w*|related|recommend\w*|widget\w*|tags|tagcloud|skip|copyright|legal)(?:$|[\s_-])",
-    re.I,
-)
+# Words of class and id names that stand for what is no article text. Those of the first kind are
+# never a wrapper of the article.
+FIRM_NAMES = r"comments?|comment-?list|disqus|replies|respond|cookies?|consent|gdpr|notice|popup|modal|overlay|newsletter|subscribe|signup|login|nav\w*|menu\w*|breadcrumbs?|footer\w*|pagination|pager|share|sharing|copyright|ads?|advert\w*|adsense"
+LOOSE_NAMES = r"banner|sponsor\w*|promo\w*|sidebar\w*|header|masthead|topbar|toolbar|social\w*|related|recommend\w*|widget\w*|tags|tagcloud|skip|legal"
+BAD_NAMES = re.compile(rf"(?:^|[\s_-])(?:(?P<firm>{FIRM_NAMES})|{LOOSE_NAMES})(?:$|[\s_-])", re.I)
+MODIFIER = re.compile(r"(?:^|(?<=\s))(?:with|has|no|without|show|hide|is)[_-]\S*", re.I)  # with-sidebar says nothing of an element's own role
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu menubar".split())
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+# a tag without quotes, or with whole quoted values that hold no angle brackets
+PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^<>\"']|=\s*+\"[^<>\"]*+\"|=\s*+'[^<>']*+')*+)>")
+TAG_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+TAG_STOP = re.compile(r"[>\"']")
 ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 RAW_END = {name: re.compile(rf"</{name}[\s/]*>", re.I) for name in ("script", "style", "textarea", "iframe")}  # their content holds no tags
 WORD = re.compile(r"[^\W\d_]+")
@@ -68,53 +80,128 @@ class Block:
     article: bool
 
 
-def _bad_attributes(attrs: str) -> bool:
+def _bad_attributes(attrs: str, heading: bool) -> int:
+    """2: never article text; 1: only by a name that a wrapper of it may have, too; 0: nothing said."""
+    found = 0
     for m in ATTR.finditer(attrs):
         name, value = m[1].lower(), (m[2] or "").strip("\"'")
-        if name in ("class", "id") and BAD_NAMES.search(value):
-            return True
+        if name in ("class", "id") and not heading:
+            for hit in BAD_NAMES.finditer(MODIFIER.sub("", value)):
+                found = max(found, 2 if hit["firm"] else 1)
         if name == "role" and value.lower() in BAD_ROLES or name == "aria-hidden" and value.lower() == "true":
-            return True
+            return 2
         if name == "hidden" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return False
+            return 2
+    return found
+
+
+@dataclass(slots=True)
+class Tag:
+    """A tag or comment (name empty) of a page."""
+
+    start: int
+    end: int
+    closing: bool = False
+    name: str = ""
+    attrs: str = ""
+
+
+class _Scanner:
+    """Finds the next tag; remembers what a page no longer holds, so that no part is searched again and again."""
+
+    def __init__(self, page: str):
+        self.page, self.gone = page, set()
+
+    def find(self, what: str, at: int) -> int:
+        if what in self.gone:
+            return -1
+        i = self.page.find(what, at)
+        if i < 0:
+            self.gone.add(what)
+        return i
+
+    def next(self, at: int) -> Tag | None:
+        page = self.page
+        while (i := self.find("<", at)) >= 0:
+            m = PLAIN_TAG.match(page, i)
+            if m:
+                return Tag(i, m.end(), bool(m[1]), m[2].lower(), m[3])
+            ahead = page[i + 1 : i + 2]
+            if ahead in ("!", "?"):
+                for opens, closes in (("<!--", "-->"), ("<![CDATA[", "]]>")):
+                    if page.startswith(opens, i) and (j := self.find(closes, i + len(opens))) >= 0:
+                        return Tag(i, j + len(closes))
+                j = self.find(">", i)
+                return Tag(i, j + 1 if j >= 0 else len(page))
+            m = TAG_NAME.match(page, i)
+            if m:
+                j = self._close(m.end())
+                return Tag(i, min(j + 1, len(page)), bool(m[1]), m[2].lower() if j < len(page) else "", page[m.end() : j])
+            at = i + 1
+        return None
 
+    def _close(self, at: int) -> int:
+        """Place of the '>' that ends a tag, outside of quoted values; the page's length if there is none."""
+        page = self.page
+        while m := TAG_STOP.search(page, at):
+            at = m.end()
+            if m[0] == ">":
+                return m.start()
+            before = page[max(0, m.start() - 8) : m.start()].rstrip()
+            if before.endswith("="):
+                j = self.find(m[0], at)
+                # a closing quote is followed by a blank or the tag's end; else the quote was never closed
+                if j >= 0 and (page[j + 1 : j + 2] in tuple(" \t\r\n\f/>") and j + 1 < len(page) or page.find(">", at, j) < 0):
+                    at = j + 1
+        return len(page)
 
-def _tokens(page: str) -> Iterator[re.Match]:
+
+def _tokens(page: str) -> Iterator[Tag]:
     """Tags and comments in order; what a script or the like holds is passed over up to its own closing tag."""
-    at, gone = 0, set()
-    while m := TOKEN.search(page, at):
+    at, gone, scan = 0, set(), _Scanner(page)
+    while m := scan.next(at):
         yield m
-        at = m.end()
-        name = (m[2] or "").lower()
-        if name in RAW_END and name not in gone and not m[1] and not m[3].endswith("/"):
-            close = RAW_END[name].search(page, at)
+        at = m.end
+        if m.name in RAW_END and m.name not in gone and not m.closing and not m.attrs.endswith("/"):
+            close = RAW_END[m.name].search(page, at)
             if close is None:
-                gone.add(name)
+                gone.add(m.name)
             else:
                 at = close.start()
 
 
-def _ends(tokens: list[re.Match]) -> dict[int, int]:
+def _ends(tokens: list[Tag]) -> dict[int, int]:
     """Opening to closing tag of every skipped element that has both, by place in tokens."""
     opened: dict[str, list[int]] = {}
     ends = {}
     for i, m in enumerate(tokens):
-        name = (m[2] or "").lower()
-        if name not in SKIPPED or name in VOID:
+        if m.name not in SKIPPED or m.name in VOID:
             continue
-        if not m[1]:
-            if not m[3].endswith("/"):
-                opened.setdefault(name, []).append(i)
-        elif opened.get(name):
-            ends[opened[name].pop()] = i
+        if not m.closing:
+            if not m.attrs.endswith("/"):
+                opened.setdefault(m.name, []).append(i)
+        elif opened.get(m.name):
+            ends[opened[m.name].pop()] = i
     return ends
 
 
+@dataclass(slots=True)
+class _Open:
+    """An open element. bad: it makes its text bad for certain; named: number of the wrapper that its name condemns, or -1."""
+
+    tag: str
+    bad: bool
+    article: bool
+    named: int
+
+
 def blocks_of(page: str) -> list[Block]:
     """The text blocks of a page in order, each with what its surroundings say of it."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # open elements: tag, makes bad, is article
+    within: list[tuple[int, ...]] = []  # of each block, the wrappers around it that their names condemn
+    wrappers: list[list] = []  # of each such wrapper: characters, holds an article or a first headline
+    stack: list[_Open] = []
+    named: list[int] = []
     bad = article = links = 0
     pieces: list[str] = []
     linked = 0
@@ -125,6 +212,9 @@ def blocks_of(page: str) -> list[Block]:
         text = SPACE.sub(" ", "".join(pieces)).strip()
         if text:
             out.append(Block(text, linked, tag, bad > 0, article > 0))
+            within.append(tuple(named))
+            for w in named:
+                wrappers[w][0] += len(text)
         pieces.clear()
         linked = 0
 
@@ -135,23 +225,33 @@ def blocks_of(page: str) -> list[Block]:
         if links:
             linked += len(SPACE.sub(" ", text))
 
+    def shut() -> str:
+        nonlocal bad, article
+        o = stack.pop()
+        bad -= o.bad
+        article -= o.article
+        depth[o.tag] -= 1
+        if o.named >= 0:
+            named.pop()
+        return o.tag
+
     tokens = list(_tokens(page))
     ends = _ends(tokens)
+    depth: dict[str, int] = {}  # open elements by name
     at, last = 0, -1  # last: the token that ends a skipped element
     for i, m in enumerate(tokens):
         if i <= last:
             continue
-        name = (m[2] or "").lower()
-        if m.start() > at:
-            add(page[at : m.start()])
-        at = m.end()
+        name = m.name
+        if m.start > at:
+            add(page[at : m.start])
+        at = m.end
         if not name:
             continue
-        closing = bool(m[1])
         if name in SKIPPED:
             if i in ends:  # of one that is never closed, only the tag goes
                 last = ends[i]
-                at = tokens[last].end()
+                at = tokens[last].end
             continue
         if name == "br":
             pieces.append(" ")
@@ -159,34 +259,44 @@ def blocks_of(page: str) -> list[Block]:
         if name in VOID and name != "hr":
             continue
         if name == "a":
-            links = max(0, links + (-1 if closing else 1))
+            links = max(0, links + (-1 if m.closing else 1))
         if name in BLOCKS:
             flush()
             links = 0 if name != "a" else links
-        if closing:
-            if any(x[0] == name for x in stack):
-                while stack:
-                    t, b, ar = stack.pop()
-                    bad -= b
-                    article -= ar
-                    if t == name:
-                        break
-        elif not m[3].endswith("/") and name not in VOID:
-            if name in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] == name:
-                _, b, ar = stack.pop()  # an end tag left out
-                bad -= b
-                article -= ar
+        if m.closing:
+            if depth.get(name):
+                while shut() != name:
+                    pass
+        elif not m.attrs.endswith("/") and name not in VOID:
+            if name in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1].tag == name:
+                shut()  # an end tag left out
             is_article = name in ("article", "main")
-            in_article = article > 0 or is_article
-            b = name in BAD_TAGS and not (name == "header" and in_article) or bool(m[3]) and not is_article and name != "body" and _bad_attributes(m[3])
-            stack.append((name, b, is_article))
+            if is_article or name == "h1":
+                for w in named:
+                    wrappers[w][1] = True
+            b = name in BAD_TAGS and not (name == "header" and article)
+            by_name = -1
+            if m.attrs and not is_article and name != "body":
+                said = _bad_attributes(m.attrs, name in HEADINGS)
+                b = b or said == 2
+                if said == 1 and not b:
+                    by_name = len(wrappers)
+                    wrappers.append([0, False])
+                    named.append(by_name)
+            stack.append(_Open(name, b, is_article, by_name))
+            depth[name] = depth.get(name, 0) + 1
             bad += b
             article += is_article
         if name in BLOCKS:
-            tag = name if not closing else (stack[-1][0] if stack else "body")
+            tag = name if not m.closing else (stack[-1].tag if stack else "body")
     if at < len(page):
         add(page[at:])
     flush()
+    if wrappers:
+        most = sum(len(x.text) for x in out) / 2
+        condemned = {w for w, (chars, holds) in enumerate(wrappers) if not holds and chars <= most}
+        for x, ws in zip(out, within, strict=True):
+            x.bad = x.bad or any(w in condemned for w in ws)
     return out
 
 
@@ -194,10 +304,14 @@ def classify(blocks: list[Block], r: HtmlRules) -> list[bool]:
     """Is each block main text? Two passes, as the module says."""
     labels: list[str] = []
     inside = any(b.article and not b.bad for b in blocks)
-    for b in blocks:
+    words = [WORD.findall(b.text.lower()) for b in blocks]
+    shares = [sum(w in STOPS for w in ws) / max(1, len(ws)) for ws in words]
+    # no long block has function words: the language isn't one of those listed, so length stands in for them
+    long_ones = [x for b, x in zip(blocks, shares, strict=True) if not b.bad and len(b.text) >= r.short and b.link_chars <= r.links * len(b.text)]
+    if long_ones and max(long_ones) < r.low_stops / 2:
+        shares = [r.high_stops if len(b.text) >= r.short else x for b, x in zip(blocks, shares, strict=True)]
+    for b, stops in zip(blocks, shares, strict=True):
         n = len(b.text)
-        words = WORD.findall(b.text.lower())
-        stops = sum(w in STOPS for w in words) / max(1, len(words))
         density = b.link_chars / n
         if b.bad or density > r.links or inside and not b.article:
             labels.append("bad")
@@ -209,7 +323,7 @@ def classify(blocks: list[Block], r: HtmlRules) -> list[bool]:
             labels.append("near")
         else:
             labels.append("short" if inside else "bad")
-    decided = ["good" if x == "good" or x == "near" and inside else x for x in labels]
+    decided = ["good" if x == "near" else x for x in labels]  # near good ones have the function words of prose
     n = len(blocks)
     before, after = [-1] * n, [-1] * n
     last = -1
@@ -233,12 +347,12 @@ def classify(blocks: list[Block], r: HtmlRules) -> list[bool]:
         z = -1 if inside and z >= 0 and not (blocks[z].article and not blocks[z].bad) else z
         sides = [decided[k] == "good" for k in (a, z) if k >= 0]
         if not sides:
-            out.append(inside or x == "near")
+            out.append(inside)
         elif all(sides) or not any(sides):
-            out.append(sides[0] or x == "near")
+            out.append(sides[0])
         else:
             nearer = a if i - a <= z - i else z
-            out.append(decided[nearer] == "good" or x == "near" or blocks[i].tag in ("h1", "h2", "h3") and decided[z] == "good")
+            out.append(decided[nearer] == "good" or blocks[i].tag in ("h1", "h2", "h3") and decided[z] == "good")
     return out
 
 
