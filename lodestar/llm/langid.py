@@ -6,8 +6,10 @@ the log of its training length, over the text's length) is the nearest one.
 
 Texts are lowered; every run of non-letters counts as one space. All texts of a batch are parsed in step:
 each is dealt into lanes of equal length, whose phrase counts are added, so whole texts are read however
-long they are. Defined results: `und` with score 0 for null text or text without a letter, and for all
-if there is nothing to learn from; ties go to the language that is first by code point.
+long they are. A letter that no labelled text has is a phrase by itself. Defined results: `und` with score 0
+for null text or text without a letter, and for all if there is nothing to learn from; ties go to the language
+that is first by code point; rows that repeat get the same result each, and count once in the sample learnt
+from; an empty table gives no rows; other columns are passed on, clashing ones as said at identify.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodestar.llm.common import text_slices
+
 
 @dataclass(frozen=True)
 class LangConfig:
@@ -128,11 +132,12 @@ class LangModel:
                 c = np.where(on, steps[t], 0)
                 nxt = a.goto[state * self.width + c].astype(np.int64)
                 stop = (nxt == 0) & on
-                count += stop
-                # the letter that ended a phrase begins the next one; unless no text has it
+                # the letter that ended a phrase, if there was one, begins the next; one that no text has is its own
                 again = a.goto[self.width + c].astype(np.int64)
+                count += stop & (state != 1)
+                count += stop & (again == 0)
                 state = np.where(stop, np.maximum(again, 1), np.where(on, nxt, state))
-            out[k] = count + live.any(axis=0)
+            out[k] = count + (state != 1)
         return out
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
@@ -176,12 +181,14 @@ def training_texts(docs: DataFrame, c: LangConfig) -> dict[str, str]:
     """Labelled text per language, equally much of each: at most `rows` texts by smallest hash of the text, one at
     least, until `chars` letters are reached; then as many letters of each as the shortest language has, but no
     fewer than a quarter of `chars` where there are as many."""
-    from pyspark.sql.types import StringType
-
-    docs = docs.where("lang is not null and text is not null").select(F.col("lang").cast(StringType()).alias("lang"), "text").where(F.col("text").rlike(r"\p{L}"))
-    order = W.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
+    docs = docs.where("lang is not null and text is not null").select(F.col("lang").cast("string").alias("lang"), "text").where(F.col("text").rlike(r"\p{L}"))
+    # places of texts in [0, 1) by hash; below 4 * rows / texts lie about 4 * rows of a language's, below 1 all
+    place = F.shiftrightunsigned(F.xxhash64("text"), 11) / F.lit(float(2**53))
+    least = docs.groupBy("lang").agg((F.lit(4.0 * c.rows) / F.approx_count_distinct(F.xxhash64("text"))).alias("upto"))
+    first = docs.withColumn("place", place).join(least, "lang").where("place < upto").select("lang", "text", "place").distinct()
+    order = W.partitionBy("lang").orderBy("place", "text")
     got: dict[str, list[str]] = {}
-    first = docs.select("lang", "text").distinct().withColumn("rn", F.row_number().over(order)).where(f"rn <= {c.rows}")
+    first = first.withColumn("rn", F.row_number().over(order)).where(f"rn <= {c.rows}")
     before = F.sum(F.length(F.regexp_replace("text", r"[^\p{L}]+", " "))).over(W.partitionBy("lang").orderBy("rn").rowsBetween(W.unboundedPreceding, -1))
     for r in first.withColumn("before", F.coalesce(before, F.lit(0))).where(f"before < {c.chars}").orderBy("lang", "rn").collect():
         got.setdefault(r["lang"], []).append(r["text"])
@@ -201,19 +208,19 @@ def _predict(texts: dict[str, str], c: LangConfig):
             _models.clear()
             _models[key] = LangModel(c, texts)
         model = _models[key]
-        for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                part = batch.slice(i, 500)
-                langs, scores = model.predict(part.column("text").to_pylist())
-                cols = [part.column(k) for k in part.schema.names]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*part.schema.names, "_lang_pred", "_score"])
+        for part in text_slices(batches, rows=500):
+            langs, scores = model.predict(part.column("text").to_pylist())
+            cols = [part.column(k) for k in part.schema.names]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*part.schema.names, "_lang_pred", "_score"])
 
     return run
 
 
 def identify(spark: SparkSession, docs: DataFrame, labelled: DataFrame, config: LangConfig | None = None) -> DataFrame:
-    """docs with columns _lang_pred and _score. labelled: lang, text to learn from; of docs only text is read."""
+    """docs with columns _lang_pred and _score (in place of any that docs have by these names). labelled: lang, text to
+    learn from; of docs only text is read."""
     c = config or LangConfig()
+    docs = docs.drop("_lang_pred", "_score")
     texts = training_texts(labelled, c)
     from pyspark.sql.types import DoubleType, StringType, StructType
 
