@@ -1,4 +1,10 @@
-"""The corpus pipeline: language ID, near-duplicates, source mixing, piece encoding."""
+"""The corpus pipeline: language ID, near-duplicates, source mixing, piece encoding.
+
+Every stage takes the columns of documents, under whatever further ones, and all but the last return just those.
+Defined results: an empty table stays empty; null and blank texts, which have no language, go in the first stage;
+rows that repeat doc_id and text are one document, rows of a doc_id with different texts are several; very long
+texts are taken whole; ties are settled as the operators say.
+"""
 
 from __future__ import annotations
 
@@ -19,12 +25,18 @@ def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that of the smallest doc_id. Rows without
-    a doc_id link with nothing and stay; of rows that repeat a doc_id, one stays."""
-    found = minhash.minhash_components(spark, docs).where("kept").select("doc_id")
-    docs = docs.select(*COLUMNS)
-    kept = docs.join(found.distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
-    return kept.unionByName(docs.where("doc_id is null"))
+    """One document of each group of near-duplicates: that of the smallest doc_id (null last, then by text's hash).
+
+    Documents are told apart by a hash of doc_id and text, so rows of one doc_id with different texts don't fall
+    together; of rows that repeat both, the one with the least lang, source and n_chars stays.
+    """
+    rows = docs.select(*COLUMNS, F.xxhash64("doc_id", "text").alias("_row"))
+    found = minhash.minhash_components(spark, rows.select(F.col("_row").alias("doc_id"), "text"))
+    ids = rows.select("_row", "doc_id").distinct().join(found.select(F.col("doc_id").alias("_row"), "component_id").distinct(), "_row")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "_row"))
+    kept = ids.groupBy("component_id").agg(first.alias("x")).select("x._row")
+    rows = rows.join(kept, "_row", "left_semi")
+    return rows.groupBy("_row").agg(F.min(F.struct(*COLUMNS)).alias("x")).select("x.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
