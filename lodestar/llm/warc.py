@@ -11,7 +11,10 @@ header block come out; it owns the records that start inside its range and reads
 
 Of records with equal payloads, that with the largest page_id is a response, the others are revisits
 without a payload. Defined results: null html is an empty payload; equal page_ids with equal payloads
-are one response and revisits of it; a null page_id is written as such and is the smallest.
+are one response and revisits of it; a null page_id is written as such and is the smallest; very long payloads
+are written and read whole; a member that is damaged, or cut off by its file's end, is passed over and the bytes
+behind its start are searched for others; an empty table gives no records; columns other than page_id, url and
+html are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import Scratch
+from lodestar.llm.common import Scratch, parts_for, text_slices
 
 MAGIC = b"\x1f\x8b\x08"
 VERSION = b"WARC/1.1\r\n"
@@ -55,23 +58,24 @@ def _clean(value: str) -> str:
 
 
 def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    columns = ("page_id", "url", "html", "sha", "size", "keeper", "place")
+    for batch in text_slices(batches, "html", rows=2000):
         out = []
-        for page, url, html, keeper, order in zip(*(batch.column(k).to_pylist() for k in ("page_id", "url", "html", "keeper", "place")), strict=True):
-            payload = (html or "").encode("utf-8", "surrogatepass")
+        for page, url, html, sha, size, keeper, order in zip(*(batch.column(k).to_pylist() for k in columns), strict=True):
             revisit = order > 1
-            rid = uuid.uuid5(uuid.NAMESPACE_OID, f"{page}/{order}/{_digest(payload)}")
+            digest = base64.b32encode(bytes.fromhex(sha)).decode()
+            rid = uuid.uuid5(uuid.NAMESPACE_OID, f"{page}/{order}/{digest}")
             fields = [("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", f"<urn:uuid:{rid}>"), ("WARC-Date", "1970-01-01T00:00:00Z")]
             if url is not None:
                 fields.append(("WARC-Target-URI", _clean(url)))
-            fields += [("WARC-Payload-Digest", f"sha1:{_digest(payload)}"), ("X-Payload-Length", str(len(payload)))]
+            fields += [("WARC-Payload-Digest", f"sha1:{digest}"), ("X-Payload-Length", str(size))]
             if page is not None:
                 fields.append(("X-Page-ID", str(page)))
             if revisit:
                 fields.append(("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))
                 if keeper is not None:
                     fields.append(("X-Refers-To-Page-ID", str(keeper)))
-            member = gzip_member(record(fields, b"" if revisit else payload))
+            member = gzip_member(record(fields, b"" if revisit else (html or "").encode("utf-8", "surrogatepass")))
             if member[-1]:
                 member += gzip_member(b"")
             out.append(member[:-1])
@@ -79,21 +83,25 @@ def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def write_warc(spark: SparkSession, pages: DataFrame, path: str) -> None:
-    """Writes one record per row of pages (page_id, url, html) to files below path."""
+    """Writes one record per row of pages (page_id, url, html) to files below path.
+
+    Payloads go to their records by payload and page_id, so no payload is a hot key; revisits carry none.
+    """
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    rows = pages.withColumn("sha", F.sha1(F.coalesce("html", F.lit(""))))
+    rows = pages.withColumn("sha", F.sha1(F.coalesce("html", F.lit("")))).withColumn("size", F.coalesce(F.octet_length("html"), F.lit(0)).cast("long"))
     # how often the largest page_id of a payload occurs in it: rows that repeat it need numbering, no others
     per = rows.groupBy("sha", "page_id").agg(F.count("*").alias("n"))
-    keep = per.groupBy("sha").agg(F.max(F.struct("page_id", "n")).alias("top"))
+    keep = per.groupBy("sha").agg(F.max(F.struct("page_id", "n")).alias("top"), F.sum("n").alias("rows"))
     s = Scratch(spark, "warc-keys")
-    keep = s.save(keep.select("sha", F.col("top.page_id").alias("keeper"), F.col("top.n").alias("ties")), "keep")
-    top = F.expr("page_id <=> keeper")
-    joined = rows.join(keep, "sha")
-    cols = ["page_id", "url", "html", "keeper", "place"]
-    members = joined.where(~(top & (F.col("ties") > 1))).withColumn("place", F.when(top, 1).otherwise(2)).select(cols)
-    ties = keep.where("ties > 1")
-    if not ties.isEmpty():
-        members = members.unionByName(_numbered(rows.join(ties, "sha").where(top)).select(cols))
+    keep = s.save(keep.select("sha", F.col("top.page_id").alias("keeper"), F.col("top.n").alias("ties"), "rows"), "keep")
+    cols = ["page_id", "url", "html", "sha", "size", "keeper", "place"]
+    k = keep.select(F.col("sha").alias("_sha"), "keeper", "ties")
+    tops = rows.join(k, (F.col("sha") == F.col("_sha")) & F.col("page_id").eqNullSafe(F.col("keeper"))).drop("_sha")
+    members = tops.where("ties = 1").withColumn("place", F.lit(1)).select(cols)
+    if not keep.where("ties > 1").isEmpty():
+        members = members.unionByName(_numbered(tops.where("ties > 1")).select(cols))
+    others = rows.drop("html").join(keep.where("rows > ties").select("sha", "keeper"), "sha").where("not (page_id <=> keeper)")
+    members = members.unionByName(others.withColumn("html", F.lit(None).cast("string")).withColumn("place", F.lit(2)).select(cols))
     members = members.mapInArrow(_write, "value binary")
     members.select(F.col("value").cast("string")).write.option("lineSep", "\u0000").option("compression", "none").text(path)
 
@@ -106,19 +114,16 @@ def _numbered(top: DataFrame) -> DataFrame:
     return top.withColumn("place", F.least(F.lit(2), F.row_number().over(order)))
 
 
-def byte_ranges(spark: SparkSession, path: str, span: int = RANGE_BYTES) -> DataFrame:
-    """(file, start, end) covering all data files below path; listing goes through Hadoop's file systems."""
-    sc = spark.sparkContext
-    p = sc._jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(sc._jsc.hadoopConfiguration())
-    ranges = []
-    for status in fs.listStatus(p):
-        name = status.getPath().getName()
-        if status.isFile() and not name.startswith(("_", ".")):
-            size = status.getLen()
-            ranges += [(status.getPath().toString(), a, min(size, a + span)) for a in range(0, size, span)]
-    frame = spark.createDataFrame(ranges, "file string, start long, end long")
-    return frame.repartition(max(1, len(ranges)), "file", "start") if ranges else frame
+def byte_ranges(spark: SparkSession, path: str, span: int = RANGE_BYTES, per_task: int = 16) -> DataFrame:
+    """(file, start, end) covering all data files below path, about per_task ranges to a task.
+
+    Files are listed by Spark's own reader, whose metadata columns leave the contents unread; ranges are made by tasks.
+    """
+    files = spark.read.format("binaryFile").load(path).where("length > 0").select(F.col("path").alias("file"), "length")
+    ranges = files.select("file", "length", F.explode(F.expr(f"sequence(0L, length - 1, {span}L)")).alias("start"))
+    ranges = ranges.select("file", "start", F.least("length", F.col("start") + span).alias("end"))
+    total = files.agg(F.sum("length")).first()[0] or 0
+    return ranges.repartition(parts_for(spark, total // (span * per_task)), "file", "start")
 
 
 def _probe(window: bytes) -> bool:
@@ -174,7 +179,10 @@ def members_in(handle, start: int, end: int) -> Iterator[tuple[int, bytes]]:
                 w.cut(len(w.buf) - len(z.unused_data))
                 if z.eof or not w.more():
                     break
-        except zlib.error:  # a damaged member: what follows is searched again from its second byte on
+            whole = z.eof
+        except zlib.error:
+            whole = False
+        if not whole:  # damaged or cut off by the file's end: what follows is searched again from its second byte on
             w = _Window(handle, offset + 1)
             w.more()
             continue
