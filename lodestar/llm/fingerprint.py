@@ -6,8 +6,12 @@ edit elsewhere doesn't move. Each unit's 64-bit digest is added to three cells o
 with a single unit recovers them. If peeling gets stuck, both are sketched again in a table four times
 larger, until all differing digests are out. Likeness is 1 - differing units / units of both.
 
+Most texts are one long line, so most units are such pieces, of about eight words each.
+
 Defined results: null text counts as empty; two texts without words have likeness 1; repeated units of a
-text count as often as they occur; equal texts have equal fingerprints, whatever their doc_ids.
+text count as often as they occur; equal texts have equal fingerprints, whatever their doc_ids; rows that repeat
+a doc_id follow each other by text; very long texts are sketched whole; an empty table gives no rows; columns
+other than doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,6 +22,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,7 +32,8 @@ from lodestar.llm.common import Words, mix64, parts_for
 
 @dataclass(frozen=True)
 class FingerprintConfig:
-    """cells: of the fingerprint's own table; cut: a unit ends after one word in 2^cut on average."""
+    """cells: of the fingerprint's own table; cut: a unit ends after one word in 2^cut on average; range_bytes: of
+    text that a range of doc_ids has; ranges: as many at most, more text makes them larger."""
 
     cells: int = 24
     cut: int = 3
@@ -35,6 +41,7 @@ class FingerprintConfig:
     growth: int = 4
     levels: int = 14
     range_bytes: int = 64 << 20
+    ranges: int = 20_000
 
 
 _ORDER = np.uint64(0xBF58476D1CE4E5B9)
@@ -205,41 +212,39 @@ def _sketch(c: FingerprintConfig):
     return run
 
 
-def _range_of(bounds: list[int]):
-    """Number of bounds (descending) above doc_id, found in two steps of about sqrt(len) comparisons."""
-    if not bounds:
-        return F.lit(0)
-    g = max(1, int(len(bounds) ** 0.5))
-    chunks = [bounds[i : i + g] for i in range(0, len(bounds), g)]
-    heads = F.expr(f"size(filter(array({','.join(f'{x[0]}L' for x in chunks)}), h -> h > doc_id))")
-    table = "array(" + ",".join("array(" + ",".join(f"{y}L" for y in x) + ")" for x in chunks) + ")"
-    inner = F.expr(f"size(filter(element_at({table}, _i), h -> h > doc_id))")
-    return heads, inner, g
+def _range_of(bounds: np.ndarray):
+    """Number of the range that a doc_id lies in: ascending bounds, descending ranges, null doc_ids in the last."""
+
+    @F.pandas_udf("int")
+    def place(ids: pd.Series) -> pd.Series:
+        known = ids.notna().to_numpy()
+        out = np.full(len(ids), len(bounds), dtype=np.int32)
+        out[known] = len(bounds) - np.searchsorted(bounds, ids.to_numpy(dtype=object)[known].astype(np.int64), "left")
+        return pd.Series(out)
+
+    return place
 
 
 def fingerprint_documents(spark: SparkSession, docs: DataFrame, config: FingerprintConfig | None = None) -> DataFrame:
     """Fingerprints of every text and of its edited text (OUT), by ranges of descending doc_id.
 
-    One shuffle of the texts; the row that follows a range's last is sent to it as well. Only a bound
-    per range comes to the driver. Null doc_ids come last; rows of equal doc_id go by text.
+    One shuffle of the texts; the row that follows a range's last is sent to it as well. A bound and a first
+    doc_id per range, `ranges` at most, are all that comes to the driver. Null doc_ids come last; rows of equal
+    doc_id go by text, null texts first.
     """
     c = config or FingerprintConfig()
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = parts_for(spark, total // c.range_bytes)
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 10000)).first()[0] or []
-    bounds = sorted(set(cuts), reverse=True)
-    if bounds:
-        heads, inner, g = _range_of(bounds)
-        split = lambda d: d.withColumn("_i", F.when(F.col("doc_id").isNull(), -1).otherwise(heads)).withColumn(
-            "p", F.when(F.col("_i") < 0, len(bounds)).when(F.col("_i") == 0, 0).otherwise((F.col("_i") - 1) * g + inner).cast("int")
-        ).drop("_i")
-    else:
-        split = lambda d: d.withColumn("p", F.lit(0))
-    firsts = [tuple(r) for r in split(docs.select("doc_id")).groupBy("p").agg(F.max("doc_id")).orderBy("p").collect()]
-    after = [(firsts[i][0], firsts[(i + 1) % len(firsts)][1]) for i in range(len(firsts))]
-    sent = spark.createDataFrame(after, "p int, first long")
-    edge = docs.join(F.broadcast(sent), docs["doc_id"].eqNullSafe(F.col("first"))).select("p", F.lit(1).alias("kind"), "doc_id", "text")
-    rows = split(docs).select("p", F.lit(0).alias("kind"), "doc_id", "text").unionByName(edge)
+    n = min(c.ranges, parts_for(spark, total // c.range_bytes))
+    cuts = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], max(10_000, 20 * n))).first()[0] or []
+    place = _range_of(np.unique(np.array(cuts, dtype=np.int64)))
+    docs = docs.withColumn("p", place("doc_id"))
+    firsts = [tuple(r) for r in docs.select("p", "doc_id").groupBy("p").agg(F.max("doc_id")).orderBy("p").collect()]
+    after = [(firsts[i][0], *firsts[(i + 1) % len(firsts)]) for i in range(len(firsts))]
+    sent = F.broadcast(spark.createDataFrame(after, "before int, p int, first long"))  # a row per range
+    # one row of each range's first doc_id goes to the range before as well
+    edge = docs.join(sent, "p").where(F.col("doc_id").eqNullSafe(F.col("first"))).groupBy("before").agg(F.min(F.struct("text", "doc_id")).alias("x"))
+    edge = edge.select(F.col("before").alias("p"), F.lit(1).alias("kind"), "x.doc_id", "x.text")
+    rows = docs.select("p", F.lit(0).alias("kind"), "doc_id", "text").unionByName(edge)
     rows = rows.repartition(n, "p").sortWithinPartitions("p", "kind", F.col("doc_id").desc_nulls_last(), "text")
     return rows.mapInArrow(_sketch(c), OUT)
