@@ -11,7 +11,9 @@ to clusters, and within a cluster documents of different components are compared
 by matrix products. So a group of near copies that hang together costs one comparison each, its pairs are
 never rows of a table, and no link that the bands propose is lost. A leader's members are verified in
 salted slices. Defined results: null or blank text has an empty set and links with nothing; a text of
-fewer words than the shingle size is one shingle; repeated doc_ids count as one node.
+fewer words than the shingle size is one shingle; rows that repeat a doc_id count as one node, a null doc_id links
+with nothing; very long texts are compared whole; an empty table gives no rows; columns other than doc_id and
+text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -274,7 +276,12 @@ def minhash_components(spark: SparkSession, docs: DataFrame, config: MinHashConf
     shared = s.save(buckets.join(leads, "key"), "shared")
     apart = F.expr("aggregate(zip_with(odd, odd2, (x, y) -> cast(bit_count(x ^ y) as int)), 0, (x, y) -> x + y)")
     stars = shared.where("doc_id <> lead").select("doc_id", "lead").distinct()
-    stars = stars.join(odd, "doc_id").join(odd.select(F.col("doc_id").alias("lead"), F.col("odd").alias("odd2")), "lead")
+    # a leader's sketch is dealt to its members in slices
+    per = stars.groupBy("lead").agg(F.expr("count(*) div 256 + 1").alias("slices"))
+    leaders = per.join(odd.withColumnRenamed("doc_id", "lead").withColumnRenamed("odd", "odd2"), "lead")
+    leaders = leaders.select("lead", "odd2", F.explode(F.expr("sequence(0L, slices - 1)")).alias("salt"))
+    stars = stars.join(per, "lead").withColumn("salt", F.expr("pmod(xxhash64(doc_id), slices)")).drop("slices")
+    stars = stars.join(odd, "doc_id").join(leaders, ["lead", "salt"])
     stars = stars.where(apart <= c.most_odd_bits).groupBy("doc_id").agg(F.min("lead").alias("a")).select("a", F.col("doc_id").alias("b"))
     links = s.save(verify_pairs(unique_docs, s.save(stars, "stars"), c), "links")
 
@@ -298,5 +305,5 @@ def minhash_components(spark: SparkSession, docs: DataFrame, config: MinHashConf
 
     linked = parts.withColumnRenamed("node", "rep")
     out = signed.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left").join(linked, "rep", "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
+    out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
