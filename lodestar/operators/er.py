@@ -41,7 +41,7 @@ def _profile(most: int, scale: float, names: tuple[int, ...], other: int, gates:
     """The caps of name routes, of numbers and grams, and the gates of rare and significant tokens and grams; addresses have one cap."""
     caps = dict(zip(("exact_name", "compact_name", "core_name", "name_sig", "rare_token", "sig_token"), names, strict=True))
     caps |= dict.fromkeys(("postal", "building", "num_street", "name_num", "name_postal", "char_3gram", "char_4gram"), other) | {"exact_addr": 200, "addr_sig": 200}
-    return Profile(most, scale, (), caps, dict(zip(("rare_token", "sig_token", "char_3gram", "char_4gram"), (*gates, gates[2]), strict=True)))
+    return Profile(most, scale, tuple(caps), caps, dict(zip(("rare_token", "sig_token", "char_3gram", "char_4gram"), (*gates, gates[2]), strict=True)))
 
 
 PROFILES = {
@@ -62,17 +62,23 @@ def parse(records: DataFrame, unicode_text: bool = False) -> DataFrame:
 
 
 def route_keys(parsed: DataFrame) -> DataFrame:
-    """keys of every route; empty keys are left out. One pass over the records."""
+    """keys of every route; empty keys are left out. One pass over the records.
+
+    A target's core name is a key only where it isn't its whole name; grams are those of the core name, and a query
+    keeps those that repeat, so they count as often as they occur in it.
+    """
     first = F.get(F.split("core", " "), F.lit(0))
+    query = F.col("src") == "S1"
+    grams = lambda n: F.when(query, T.key_ngrams("core", n)).otherwise(F.array_distinct(T.key_ngrams("core", n)))
     single = {
-        "exact_name": F.col("n"), "compact_name": F.col("compact"), "core_name": F.col("core"), "name_sig": F.col("name_sig"), "exact_addr": F.col("a"), "addr_sig": F.col("addr_sig"),
+        "exact_name": F.col("n"), "compact_name": F.col("compact"), "core_name": F.when(query | (F.col("core") != F.col("n")), F.col("core")), "name_sig": F.col("name_sig"), "exact_addr": F.col("a"), "addr_sig": F.col("addr_sig"),
         "building": F.col("building"), "num_street": F.concat("building", F.lit("_"), "street"), "name_num": F.concat(first, F.lit("_"), "building"),
         "name_postal": F.concat(first, F.lit("_"), "pin"), "phonetic": F.col("phonetic"),
     }
     long = F.filter("name_tokens", lambda t: F.length(t) >= 3)
     many = {
-        "rare_token": long, "sig_token": long, "postal": F.col("postals"), "char_4gram": F.array_distinct(T.key_ngrams("n", 4)),
-        "char_3gram": F.array_distinct(T.key_ngrams("n", 3)), "word2gram": F.array_distinct(T.word_bigrams("n")),
+        "rare_token": long, "sig_token": long, "postal": F.col("postals"), "char_4gram": grams(4),
+        "char_3gram": grams(3), "word2gram": F.array_distinct(T.word_bigrams("n")),
     }
     tagged = lambda route: lambda k: F.struct(F.lit(route).alias("route"), k.alias("key"))
     arrays = [F.transform(F.array(c), tagged(r)) for r, c in single.items()] + [F.transform(c, tagged(r)) for r, c in many.items()]
@@ -88,6 +94,11 @@ def blocked(queries: DataFrame, targets: DataFrame, caps: dict[str, int], gates:
     keep = list(caps)
     t = targets.where(F.col("route").isin(keep)).join(queries.select("route", "key").distinct(), ["route", "key"], "left_semi")
     df = t.groupBy("route", "key").agg(F.count("*").alias("df"))
+    if {"char_3gram", "char_4gram"} <= set(caps):
+        # grams of both lengths share their count: a text too short for either is the same gram to both
+        short = df.where("route in ('char_3gram', 'char_4gram') and length(key) <= 3").groupBy("key").agg(F.sum("df").alias("both"))
+        gram = F.col("route").isin("char_3gram", "char_4gram")
+        df = df.join(short, "key", "left").withColumn("df", F.when(gram, F.coalesce("both", "df")).otherwise(F.col("df"))).drop("both")
     df = df.where((gate[F.col("route")] == 0) | (F.col("df") <= gate[F.col("route")])).where(F.col("df") > floor[F.col("route")]).select("route", "key")
     order = W.partitionBy("route", "key").orderBy("src", "seq")
     most = max(caps.values())
@@ -96,6 +107,18 @@ def blocked(queries: DataFrame, targets: DataFrame, caps: dict[str, int], gates:
     return q.join(t.select("route", "key", F.col("id").alias("target_id")), ["route", "key"]).select("s1_id", "target_id", "route")
 
 
+def tfidf_per_source(queries: DataFrame, targets: DataFrame, ks: tuple[int, ...] = (20, 50, 100, 200), **how) -> DataFrame:
+    """The best of each target source per query, searched once; `within` tells the smallest of ks that holds a row."""
+    got = None
+    for source in ("S2", "S3"):
+        one = tfidf_topk(queries, targets.where(F.col("src") == source), max(ks), **how).withColumn("source", F.lit(source))
+        got = one if got is None else got.unionByName(one)
+    within = F.lit(max(ks))
+    for k in sorted(ks, reverse=True):
+        within = F.when(F.col("rank") <= k, F.lit(k)).otherwise(within)
+    return got.withColumn("within", within)
+
+
 def with_residual(hits: DataFrame, parsed: DataFrame, same_country: bool = False) -> DataFrame:
     """hits whose records share a name token (and a country)."""
     q = parsed.select(F.col("id").alias("s1_id"), F.col("name_tokens").alias("qt"), F.col("country").alias("qc"))
@@ -118,12 +141,18 @@ def union_provenance(hits: DataFrame, most: int = 0) -> DataFrame:
 
 def retrieve(queries: DataFrame, targets: DataFrame, profile: Profile) -> DataFrame:
     """Weighted retrieval: scores summed over hits, ranked by (routes, score, target) within the query."""
+    return retrieve_routes(queries, targets, profile).drop("routes")
+
+
+def retrieve_routes(queries: DataFrame, targets: DataFrame, profile: Profile) -> DataFrame:
+    """As retrieve, with the sorted routes of every pair."""
     names = profile.routes or tuple(ROUTES)
     caps = {r: profile.caps.get(r, max(1, int(ROUTES[r][1] * profile.scale))) for r in names}
     gates = {r: profile.gates.get(r, ROUTES[r][2]) for r in ROUTES}
     hits = blocked(queries, targets, caps, gates, {"sig_token": gates["rare_token"]})
     weight = F.create_map(*[F.lit(x) for r in names for x in (r, ROUTES[r][0])])
-    p = hits.groupBy(*PAIR).agg(F.round(F.sum(weight[F.col("route")]), 6).alias("score"), F.countDistinct("route").alias("n_routes"))
+    p = hits.groupBy(*PAIR).agg(F.round(F.sum(weight[F.col("route")]), 6).alias("score"), F.array_sort(F.collect_set("route")).alias("routes"))
+    p = p.withColumn("n_routes", F.size("routes").cast("long"))
     order = W.partitionBy("s1_id").orderBy(F.desc("n_routes"), F.desc("score"), "target_id")
     return p.withColumn("rank", F.row_number().over(order)).where(f"rank <= {profile.most}")
 
@@ -244,7 +273,9 @@ class Decision:
 
 
 def decide(scores: DataFrame, d: Decision, meta: DataFrame | None = None) -> DataFrame:
-    """picks(s1_id, target_id, p). meta: s1_id, has_addr; queries without an address get higher thresholds."""
+    """picks(s1_id, target_id, p). meta: s1_id, has_addr; queries without an address get higher thresholds. Of a
+    target that repeats among a query's scores the best counts; queries are dealt out once for that and all windows."""
+    scores = scores.select(*PAIR, "p").repartition("s1_id").groupBy(*PAIR).agg(F.max("p").alias("p"))
     boost = F.lit(0.0)
     if meta is not None:
         scores = scores.join(meta, "s1_id", "left")
@@ -259,8 +290,8 @@ def decide(scores: DataFrame, d: Decision, meta: DataFrame | None = None) -> Dat
     s = s.withColumn("rn", F.row_number().over(w)).withColumn("top", F.max("p").over(whole)).withColumn("n", F.count("*").over(whole))
     s = s.withColumn("second", F.max(F.when(F.col("rn") == 2, F.col("p"))).over(whole)).withColumn("margin", F.round(F.col("top") - F.coalesce("second", F.lit(0.0)), 9))
     if d.strategy == "margin_abstention":
-        out = (F.col("top") < d.min_top) | ((F.col("top") < d.threshold + F.col("b")) & (F.col("margin") < d.min_margin))
-        return s.where(~out & (F.col("p") >= d.threshold + F.col("b"))).select(*PAIR, "p")
+        out = (F.col("top") < d.min_top + F.col("b")) | ((F.col("top") < d.threshold + F.col("b")) & (F.col("margin") < d.min_margin))
+        return s.where(~(out if d.abstain else F.lit(False)) & (F.col("p") >= d.threshold + F.col("b"))).select(*PAIR, "p")
     if d.strategy == "prefix":  # stops at the first that fails
         bad = F.min(F.when(F.col("p") < d.threshold, F.col("rn"))).over(whole)
         return s.withColumn("bad", bad).where("bad is null or rn < bad").select(*PAIR, "p")
@@ -323,26 +354,23 @@ def error_kinds(per: DataFrame) -> DataFrame:
 
 
 def threshold_sweep(s1: DataFrame, truth: DataFrame, scores: DataFrame, thresholds: list[float]) -> DataFrame:
-    """Macro F by threshold in one pass: scores meet a small table of thresholds."""
-    spark = scores.sparkSession
-    table = F.broadcast(spark.createDataFrame([(float(x),) for x in thresholds], "threshold double"))
-    hit = scores.join(truth.select(*PAIR, F.lit(1).alias("t")), PAIR, "left").join(table, F.col("p") >= F.col("threshold"))
-    per = hit.groupBy("threshold", "s1_id").agg(F.count("*").alias("n_pred"), F.sum(F.coalesce("t", F.lit(0))).alias("n_hit"))
-    known = truth.groupBy("s1_id").agg(F.count("*").alias("n_true"))
-    base = s1.select("s1_id").join(known, "s1_id", "left").na.fill(0, ["n_true"]).crossJoin(table)
-    per = base.join(per, ["threshold", "s1_id"], "left").na.fill(0, ["n_pred", "n_hit"])
-    b, h, n, m = 0.25, F.col("n_hit"), F.col("n_pred"), F.col("n_true")
-    f = F.when((n == 0) & (m == 0), 1.0).when(h == 0, 0.0).otherwise((1 + b) * h / (b * m + n))
-    return per.groupBy("threshold").agg(F.round(F.avg(f), 6).alias("macro_f"))
+    """Macro F by threshold: every query's candidates are collapsed once, then counted from each threshold on."""
+    from lodestar.operators import rules
+
+    sets = [{"threshold": x} for x in thresholds]
+    return rules.scored_sets(rules.collapsed(s1, truth, scores), rules.by_threshold, sets).select("threshold", "macro_f")
+
+
+def best_threshold(sweep: DataFrame) -> DataFrame:
+    """The row of the largest macro F, of equals that of the smallest threshold."""
+    return sweep.orderBy(F.desc("macro_f"), "threshold").limit(1)
 
 
 def stratified_split(s1: DataFrame, truth: DataFrame, share: float = 0.2, seed: str = "split") -> DataFrame:
     """s1_id, stratum (0, 1, 2 or more matches), part: the first floor(n * share) by hash of each stratum validate."""
-    known = truth.groupBy("s1_id").agg(F.count("*").alias("m"))
-    s = s1.select("s1_id").join(known, "s1_id", "left").select("s1_id", F.least(F.coalesce("m", F.lit(0)), F.lit(2)).cast("int").alias("stratum"))
-    order = W.partitionBy("stratum").orderBy(F.md5(F.concat(F.lit(seed), "s1_id")))
-    rn, n = F.row_number().over(order), F.count("*").over(W.partitionBy("stratum"))
-    return s.withColumn("part", F.when(rn <= F.floor(n * share), "validation").otherwise("train"))
+    from lodestar.operators.sampling import split, strata
+
+    return split(strata(s1, truth, 2), [("validation", share)], "train", seed)
 
 
 def hard_negatives(scores: DataFrame, truth: DataFrame, ratio: int = 3) -> DataFrame:

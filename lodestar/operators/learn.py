@@ -85,3 +85,101 @@ def missed_pairs(truth: DataFrame, pairs: DataFrame, parsed: DataFrame) -> DataF
     kind = F.when(q("n") == t("n"), "same name").when(F.arrays_overlap(q("name_tokens"), t("name_tokens")), "shared token").when(F.arrays_overlap(q("postals"), t("postals")), "shared postal")
     kind = kind.when(q("building") == t("building"), "shared building").when(q("country") != t("country"), "other country").otherwise("nothing shared")
     return j.select(*PAIR, kind.alias("category"))
+
+
+def split_fit(features: DataFrame, truth: DataFrame, part: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(training, other) rows of features with label; part: s1_id, part, where `train` is what models may see."""
+    rows = labelled(features, truth).join(part.select("s1_id", "part"), "s1_id")
+    return rows.where("part = 'train'").drop("part"), rows.where("part <> 'train'").drop("part")
+
+
+def feature_names(features: DataFrame) -> list[str]:
+    return [c for c in features.columns if c not in (*PAIR, "label", "part", "weight")]
+
+
+def fit_trees(train: DataFrame, names: list[str], trees: int = 10, depth: int = 4, weighted: bool = True, seed: int = 7):
+    """A pipeline of assembler and gradient-boosted trees on rows with label; positives weighted by the class ratio."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.feature import VectorAssembler
+
+    pos, n = train.agg(F.sum("label"), F.count("*")).first()
+    weight = (n - (pos or 0)) / max(1.0, pos or 0) if weighted else 1.0
+    train = train.withColumn("weight", F.when(F.col("label") == 1, weight).otherwise(1.0))
+    stages = [VectorAssembler(inputCols=names, outputCol="x"), GBTClassifier(featuresCol="x", labelCol="label", weightCol="weight", maxIter=trees, maxDepth=depth, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=seed)]
+    return Pipeline(stages=stages).fit(train)
+
+
+def scored(model, rows: DataFrame, name: str = "p") -> DataFrame:
+    from pyspark.ml.functions import vector_to_array
+
+    return model.transform(rows).withColumn(name, F.round(F.get(vector_to_array("probability"), F.lit(1)), 6)).drop("x", "rawPrediction", "probability", "prediction")
+
+
+def ensemble(train: DataFrame, rows: DataFrame, first: float = 0.65) -> DataFrame:
+    """Two boosted models, one deep and weighted, one shallow and plain; p is `first` of the one and the rest of the other."""
+    names = feature_names(train)
+    a = scored(fit_trees(train, names, 10, 5, True, 7), rows, "a")
+    both = scored(fit_trees(train, names, 20, 3, False, 11), a, "b")
+    return both.select(*PAIR, "label", F.round(first * F.col("a") + (1 - first) * F.col("b"), 6).alias("p"))
+
+
+def importances(model, names: list[str]) -> DataFrame:
+    """Gain-like importance of every feature."""
+    from pyspark.sql import SparkSession
+
+    gains = model.stages[-1].featureImportances.toArray().tolist()
+    return SparkSession.getActiveSession().createDataFrame([(n, round(float(g), 6)) for n, g in zip(names, gains, strict=True)], "feature string, importance double")
+
+
+def pruner_curve(train: DataFrame, rows: DataFrame, thresholds: tuple[float, ...] = (0.01, 0.02, 0.05, 0.1, 0.2)) -> DataFrame:
+    """A small model that drops pairs below a threshold: recall lost and share of pairs removed, by threshold."""
+    p = scored(fit_trees(train, feature_names(train), 10, 4), rows)
+    pos = F.sum("label")
+    sums = [F.struct(F.lit(t).alias("threshold"), (F.sum(F.when(F.col("p") < t, F.col("label")).otherwise(0.0)) / pos).alias("recall_loss"), F.avg((F.col("p") < t).cast("double")).alias("reduction")) for t in thresholds]
+    rows = p.agg(F.array(*sums).alias("x")).select(F.explode("x").alias("x"))
+    return rows.select("x.threshold", F.round(F.coalesce("x.recall_loss", F.lit(0.0)), 6).alias("recall_loss"), F.round("x.reduction", 6).alias("reduction"))
+
+
+#: Feature sets of the ablation: all names that start with one of the prefixes.
+ABLATION = {"name only": ("name_",), "address only": ("addr_",), "name and address": ("name_", "addr_"), "structure": ("country_", "postal_", "building_", "numeric_", "first_word"), "all": ("",)}
+
+
+def ablation(train: DataFrame, rows: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """Average precision and pairs over the threshold of a model on each set of features, on rows it wasn't fitted to."""
+    from lodestar.operators.audit import probability_measures
+
+    out = None
+    for name, prefixes in ABLATION.items():
+        used = [c for c in feature_names(train) if c.startswith(prefixes)]
+        p = scored(fit_trees(train, used, 5, 3), rows)
+        one = probability_measures(p, p.where("label = 1")).select(F.lit(name).alias("features"), F.lit(len(used)).alias("n_features"), "roc_auc", "average_precision", "brier")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def save_model(model, path: str) -> None:
+    """Writes a fitted pipeline with the names of its columns."""
+    model.write().overwrite().save(path)
+
+
+def load_model(path: str):
+    from pyspark.ml import PipelineModel
+
+    return PipelineModel.load(path)
+
+
+def calibrated_apart(scores: DataFrame, truth: DataFrame, part: DataFrame) -> DataFrame:
+    """Platt and isotonic calibration fitted on the training part's pairs and applied to all others."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.regression import IsotonicRegression
+
+    train, rest = split_fit(scores.select(*PAIR, "p"), truth, part)
+    wide = VectorAssembler(inputCols=["p"], outputCol="features")
+    train, rest = wide.transform(train), wide.transform(rest)
+    platt = LogisticRegression(labelCol="label").fit(train).transform(rest)
+    platt = platt.select(*PAIR, "p", "label", "features", F.get(vector_to_array("probability"), F.lit(1)).alias("platt"))
+    both = IsotonicRegression(labelCol="label").fit(train).transform(platt)
+    return both.select(*PAIR, "p", "label", F.round("platt", 6).alias("platt"), F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), "prediction")), 6).alias("isotonic"))

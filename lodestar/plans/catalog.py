@@ -22,11 +22,30 @@ GATES = {"rare_token": 100}
 THRESHOLDS = [round(0.20 + 0.01 * i, 2) for i in range(66)]
 
 
+class Fixture(str):
+    """A directory of tables in whose place the records of FIXTURE are read."""
+
+
+#: id, src, seq, name, address, country: equal, reordered and abbreviated names, legal forms, address words, gaps.
+FIXTURE = [
+    ("S1-1", "S1", 1, "Acme Steel Works Pvt Ltd", "12 Oak St Apt 4 40001", "India"), ("S1-2", "S1", 2, "Borea & Sons Inc.", "7B Elm Rd. 50002", "USA"), ("S1-3", "S1", 3, "Cobalt Foods", "", "FR"),
+    ("S1-4", "S1", 4, "Dune Textile Mills", "99 Hill Blvd 60003", ""), ("S1-5", "S1", 5, "IBM", "1 New Orchard Rd 10504", "United States"), ("S1-6", "S1", 6, "Zen1th T00ls", "5 Lake Dr 70005", "DE"),
+    ("S1-7", "S1", 7, "The Company of", "3 P.O. Box 81 80006", "UK"), ("S1-8", "S1", 8, "Quiet Harbor Shipping", "14 Pier No 3 90007", "CA"), ("S1-9", "S1", 9, "Lone Star", "8 Ranch Ln 75001", "USA"),
+    ("S2-1", "S2", 1, "acme steel works pvt ltd", "12 Oak Street Apartment 4 40001", "India"), ("S2-2", "S2", 2, "Sons & Borea Inc", "7b Elm Road 50002", "USA"), ("S2-3", "S2", 3, "Cobalt Fods", "22 Rue Verte 33000", "FR"),
+    ("S2-4", "S2", 4, "Textile Dune Mills", "100 Hill Blvd 60003", "IN"), ("S2-5", "S2", 5, "International Business Machines", "1 New Orchard Rd 10504", "US"), ("S2-6", "S2", 6, "Zenith Tools", "5 Lake Drive 70005", "Germany"),
+    ("S2-7", "S2", 7, "The Company of", "PO Box 81 80006", "GB"), ("S2-8", "S2", 8, "Harbor Fish", "", "CA"), ("S2-20", "S2", 20, "Acme Steel Works Pvt Ltd", "300 Other Ave 11111", "India"),
+    ("S3-1", "S3", 1, "Acme Steel Works Private Limited", "12 Oak St 40001", "IND"), ("S3-2", "S3", 2, "Borea Sons", "7B Elm Rd 50002", "Canada"), ("S3-3", "S3", 3, "", "22 Rue Verte 33000", "FR"),
+    ("S3-4", "S3", 4, "Dune Textile Mills", "", "IN"), ("S3-6", "S3", 6, "Zen1th T00ls GmbH", "5 Lake Dr 70005", "DE"), ("S3-8", "S3", 8, "Quiet Harbor Shipping Co", "Pier 3 90007", "CA"), ("S3-21", "S3", 21, "Orchard Cafe", "1 New Orchard Rd 10504", "US"),
+]
+
+
 class AllRoutes(str):
     """A directory of tables whose candidates come from all nine routes; plain strings take those of the SQL."""
 
 
 def records(spark: SparkSession, d: str) -> DataFrame:
+    if isinstance(d, Fixture):
+        return spark.createDataFrame(FIXTURE, "id string, src string, seq long, name string, addr string, country string")
     read = lambda t: spark.read.parquet(f"{d}/{t}.parquet")
     street = lambda n, kind: F.concat(n.cast("string"), F.lit(f" Main {kind} "), (n + 10000).cast("string"))
     nine = lambda c: F.lpad(F.col(c).cast("string"), 9, "0")
@@ -275,11 +294,13 @@ def id_fingerprint(spark, d):
 
 
 def gbt_scores(spark, d):
-    return learn.gbt_scores(pair_features(spark, d), _truth(spark, d))
+    """Scores of pairs of queries that the model wasn't fitted to."""
+    train, rest = learn.split_fit(pair_features(spark, d), _truth(spark, d), stratified_split(spark, d))
+    return learn.scored(learn.fit_trees(train, learn.feature_names(train)), rest).select("s1_id", "target_id", "p", "label")
 
 
 def calibration(spark, d):
-    return learn.calibrated(_scores(spark, d), _truth(spark, d))
+    return learn.calibrated_apart(_scores(spark, d), _truth(spark, d), stratified_split(spark, d))
 
 
 def revenue_by_nation(spark, d):
@@ -305,7 +326,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "union_provenance", "pair_features", "context_features", "fuzzy_features", "jaro_winkler", "threshold_sweep", "macro_metrics", "subgroup_metrics", "candidate_recall", "route_benchmark", "candidate_distribution",
         "recall_funnel", "error_breakdown", "missed_pairs", "hard_negatives", "sink_rows", "list_violations", "gbt_scores", "calibration", *[n for n in out if n.startswith("decide_")],
     ]
-    return out | {f"{n}_nine_routes": lambda spark, d, f=out[n]: f(spark, AllRoutes(d)) for n in routed}
+    from lodestar.plans import extended
+
+    return out | {f"{n}_nine_routes": lambda spark, d, f=out[n]: f(spark, AllRoutes(d)) for n in routed} | extended.queries()
 
 
 # --- the same in DuckDB's SQL ------------------------------------------------------------------
@@ -319,11 +342,11 @@ nrm AS (
   SELECT *, trim(regexp_replace(regexp_replace(replace(lower(name), '&', ' and '), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g')) AS n,
     trim(regexp_replace(regexp_replace(replace(lower(addr), '&', ' and '), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g')) AS a FROM rec),
 par AS (
-  SELECT *, list_distinct(string_split(n, ' ')) AS nt, list_distinct(string_split(a, ' ')) AS adt, array_to_string(list_sort(list_distinct(string_split(n, ' '))), ' ') AS sig,
-    regexp_extract(addr, '^\s*(\d+[a-zA-Z]?)\b', 1) AS bld, list_distinct(regexp_extract_all(addr, '\b\d{5,6}\b')) AS pins FROM nrm)"""
+  SELECT *, list_filter(list_distinct(string_split(n, ' ')), lambda x: x <> '') AS nt, list_filter(list_distinct(string_split(a, ' ')), lambda x: x <> '') AS adt, array_to_string(list_sort(list_filter(list_distinct(string_split(n, ' ')), lambda x: x <> '')), ' ') AS sig,
+    lower(regexp_extract(addr, '^\s*(\d+[a-zA-Z]?)\b', 1)) AS bld, list_distinct(regexp_extract_all(addr, '\b\d{5,6}\b')) AS pins FROM nrm)"""
 _KEYS = r""",
 k AS (
-  SELECT 'exact_name' AS route, n AS key, id, src, seq FROM par UNION ALL SELECT 'name_sig', sig, id, src, seq FROM par
+  SELECT 'exact_name' AS route, n AS key, id, src, seq FROM par WHERE n <> '' UNION ALL SELECT 'name_sig', sig, id, src, seq FROM par WHERE sig <> ''
   UNION ALL SELECT 'rare_token', x, id, src, seq FROM (SELECT unnest(nt) AS x, id, src, seq FROM par) WHERE length(x) >= 3
   UNION ALL SELECT 'postal', unnest(pins), id, src, seq FROM par UNION ALL SELECT 'building', bld, id, src, seq FROM par WHERE bld <> ''),
 caps(route, cap, gate) AS (VALUES ('exact_name', 50, 0), ('name_sig', 50, 0), ('rare_token', 30, 100), ('postal', 30, 0), ('building', 20, 0)),
@@ -353,6 +376,15 @@ round(coalesce(sum(n_hit) / nullif(sum(n_true), 0), 1.0), 6) AS micro_recall, ro
 
 
 def oracle_sql() -> dict[str, str]:
+    from lodestar.plans import extended
+
+    return base_sql() | extended.oracle_sql()
+
+
+FEATURE_SQL: list[str] = []
+
+
+def base_sql() -> dict[str, str]:
     w = lambda chain, last: f"WITH {chain}\n{last}"
     rec, keys = _REC, _REC + _KEYS
     pairs = keys + _PAIRS
@@ -377,7 +409,6 @@ def oracle_sql() -> dict[str, str]:
         "block_building_residual": w(keys, "SELECT s1_id, target_id, route FROM hits JOIN par q ON q.id = s1_id JOIN par t ON t.id = target_id WHERE route = 'building' AND len(list_intersect(q.nt, t.nt)) > 0 AND q.country = t.country"),
         "union_provenance": w(pairs, """SELECT s1_id, target_id, array_to_string(rs, ',') AS routes, len(rs) AS n_routes, tier FROM (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY tier, len(rs) DESC, target_id) AS rn FROM (SELECT *,
             CASE WHEN list_has_any(rs, ['exact_name', 'name_sig']) THEN 1 WHEN list_contains(rs, 'rare_token') THEN 2 ELSE 3 END AS tier FROM pairs)) WHERE rn <= 150"""),
-        "pair_features_core": "",
         "context_features": w(sc, """SELECT s1_id, target_id, p, row_number() OVER (PARTITION BY s1_id ORDER BY p DESC, target_id) AS rank, round(max(p) OVER (PARTITION BY s1_id) - p, 6) AS gap_to_top, count(*) OVER (PARTITION BY s1_id) AS n_candidates,
             count(*) OVER (PARTITION BY target_id) AS target_frequency, row_number() OVER (PARTITION BY target_id ORDER BY p DESC, s1_id) AS target_rank FROM sc"""),
         "jaro_winkler": w(pairs, "SELECT s1_id, target_id, round(jaro_winkler_similarity(q.n, t.n), 6) AS jw FROM pairs JOIN par q ON q.id = s1_id JOIN par t ON t.id = target_id"),
@@ -414,7 +445,6 @@ def oracle_sql() -> dict[str, str]:
         "id_fingerprint": w(rec, "SELECT src, count(*) AS n, sha256(string_agg(id, chr(10) ORDER BY id)) AS sha256 FROM rec GROUP BY src"),
         "revenue_by_nation": "SELECT c_nationkey, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY 1",
     }
-    del out["pair_features_core"]
     out |= {f"block_{r}": w(keys, f"SELECT * FROM hits WHERE route = '{r}'") for r in CAPS}
     jac = lambda a, b: f"CASE WHEN len({a}) = 0 OR len({b}) = 0 THEN 0.0 ELSE len(list_intersect({a}, {b})) / len(list_distinct(list_concat({a}, {b}))) END"
     cols = []
@@ -433,6 +463,7 @@ def oracle_sql() -> dict[str, str]:
         f"round(({jac('q.nt', 't.nt')}) * ({jac('q.adt', 't.adt')}), 6) AS name_x_addr",
     ]
     cols = [x.replace("THEN 1.0 ELSE 0.0 END", "THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END") for x in cols]
+    FEATURE_SQL[:] = cols
     out["pair_features"] = w(pairs, f"SELECT s1_id, target_id, {', '.join(cols)} FROM pairs JOIN par q ON q.id = s1_id JOIN par t ON t.id = target_id")
     out["tfidf_topk"] = w(rec, """, d AS (SELECT id, src, unnest(list_transform(range(1, length(n) - 1), lambda i: substring(n, i, 3))) AS g FROM par WHERE src IN ('S1', 'S3')), c AS (SELECT id, src, g, count(*) AS c FROM d GROUP BY ALL),
         idf AS (SELECT g, ln(((SELECT count(*) FROM rec WHERE src = 'S3') + 1) / (count(*) + 1)) + 1 AS idf FROM c WHERE src = 'S3' GROUP BY g HAVING count(*) >= 2),

@@ -17,7 +17,7 @@ def read_tsv(spark: SparkSession, path: str, columns: tuple[str, ...] = SOURCE_C
 
 def parse_lists(table: DataFrame, column: str = "matched_entity_ids") -> DataFrame:
     """The comma list of column as an array of trimmed, non-empty ids."""
-    return table.withColumn(column, F.filter(F.transform(F.split(F.coalesce(column, F.lit("")), ","), F.trim), lambda x: x != ""))
+    return table.withColumn(column, F.filter(F.transform(F.split(F.coalesce(column, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def write_lists(rows: DataFrame, path: str, key: str = "s1_id", column: str = "matched_entity_ids") -> None:
