@@ -176,10 +176,8 @@ def list_file_findings(spark: SparkSession, path: str, s1: DataFrame, targets: D
     shape = lines.agg(
         F.count_if(F.col("value") == want).alias("h"), F.count_if((F.col("value") != "") & ~F.col("value").contains("\t")).alias("no_tab"), F.count_if(F.col("value") == ",".join(header)).alias("comma_header"), F.count("*").alias("lines")
     )
-    shape = shape.select(F.explode(F.array(
-        F.struct(F.lit("empty_file").alias("category"), (F.col("lines") == 0).cast("long").alias("n")), F.struct(F.lit("wrong_header"), (F.col("h") != 1).cast("long")), F.struct(F.lit("comma_header"), F.col("comma_header")),
-        F.struct(F.lit("row_without_tab"), F.col("no_tab")),
-    )).alias("x")).select("x.*")
+    counted = {"empty_file": (F.col("lines") == 0).cast("long"), "wrong_header": (F.col("h") != 1).cast("long"), "comma_header": F.col("comma_header"), "row_without_tab": F.col("no_tab")}
+    shape = shape.select(F.explode(F.array(*[F.struct(F.lit(k).alias("category"), n.alias("n")) for k, n in counted.items()])).alias("x")).select("x.*")
     parts = F.split("value", "\t", 2)
     body = lines.where((F.col("value") != want) & F.col("value").contains("\t")).select(F.trim(parts[0]).alias("s1_id"), F.coalesce(F.get(parts, F.lit(1)), F.lit("")).alias("matched_entity_ids"))
     found = list_findings(body, s1, targets if targets is not None else body.select(F.explode(F.split("matched_entity_ids", ",")).alias("id")).select(F.trim("id").alias("id")))
@@ -198,7 +196,7 @@ def validate_files(spark: SparkSession, matching: str, candidate: str | None, s1
 
     def pairs(path: str, head: str) -> DataFrame:
         rows = spark.read.text(path).where(F.col("value").contains("\t")).select(F.split("value", "\t", 2).alias("x")).select(F.col("x")[0].alias("s1_id"), F.col("x")[1].alias("matched_entity_ids")).where(F.col("s1_id") != head)
-        return parse_lists(rows).select("s1_id", F.explode("matched_entity_ids").alias("target_id"))
+        return parse_lists(rows).select("s1_id", F.explode("matched_entity_ids").alias("target_id")).distinct()
 
     beyond = subset_violations(pairs(matching, names[0]), pairs(candidate, names[0])).agg(F.count("*").alias("n"))
     return out.unionByName(beyond.select(F.when(F.col("n") > 0, "WARNING").otherwise("OK").alias("severity"), F.lit("not_a_candidate").alias("category"), "n", F.lit("both").alias("file")))

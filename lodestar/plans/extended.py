@@ -389,7 +389,9 @@ def negatives_fuzzy(spark, d):
 
 
 def _train_rest(spark, d):
-    return learn.split_fit(c.pair_features(spark, d), c._truth(spark, d), c.stratified_split(spark, d))
+    """Rows to fit to and others, kept while several models pass over them; lost blocks are computed again."""
+    train, rest = learn.split_fit(c.pair_features(spark, d), c._truth(spark, d), c.stratified_split(spark, d))
+    return train.persist(), rest.persist()
 
 
 def model_ensemble(spark, d):
