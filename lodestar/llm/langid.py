@@ -185,7 +185,8 @@ def training_texts(docs: DataFrame, c: LangConfig) -> dict[str, str]:
     # places of texts in [0, 1) by hash; below 4 * rows / texts lie about 4 * rows of a language's, below 1 all
     place = F.shiftrightunsigned(F.xxhash64("text"), 11) / F.lit(float(2**53))
     least = docs.groupBy("lang").agg((F.lit(4.0 * c.rows) / F.approx_count_distinct(F.xxhash64("text"))).alias("upto"))
-    first = docs.withColumn("place", place).join(least, "lang").where("place < upto").select("lang", "text", "place").distinct()
+    # a row per language, as many as automata that every task gets anyway; so the texts themselves aren't dealt by language
+    first = docs.withColumn("place", place).join(F.broadcast(least), "lang").where("place < upto").select("lang", "text", "place").distinct()
     order = W.partitionBy("lang").orderBy("place", "text")
     got: dict[str, list[str]] = {}
     first = first.withColumn("rn", F.row_number().over(order)).where(f"rn <= {c.rows}")
