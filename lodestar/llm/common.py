@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,49 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Where the session names none, a local session (as in tests)
-    gets one of its own; on a cluster that's an error, for executors can't see the driver's folders."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not path:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        import tempfile
-
-        path = "file://" + tempfile.mkdtemp(prefix="lodestar-shared-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-class Scratch:
-    """Intermediate tables of one operator run, written below the shared folder.
-
-    Lineage is cut by reading back what was written, so a lost executor costs only the running stage.
-    """
-
-    def __init__(self, spark: SparkSession, label: str):
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
-        jvm = spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.root)
-        self._fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        self._fs.deleteOnExit(path)
-
-    def path(self, name: str) -> str:
-        return f"{self.root}/{name}"
-
-    def save(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-        df.write.mode("overwrite").option("compression", codec).parquet(self.path(name))
-        return self.load(name, df)
-
-    def load(self, name: str, like: DataFrame) -> DataFrame:
-        return self.spark.read.schema(like.schema).parquet(self.path(name))
-
-    def drop(self, *names: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        for name in names:
-            self._fs.delete(jvm.org.apache.hadoop.fs.Path(self.path(name)), True)
+from lodestar.sources.scratch import Scratch, shared_dir  # noqa: F401
 
 
 def parts_for(spark: SparkSession, least: int = 0) -> int:

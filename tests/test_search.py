@@ -67,3 +67,18 @@ def test_grams_of_many_letters_are_told_apart():
     known = set(grams)
     want = {(i, g) for i, t in enumerate(texts) for n in (3, 5) for j in range(len(t) - n + 1) if (g := t[j : j + n]) in known}
     assert {(int(i), grams[g]) for i, g in zip(rows, found, strict=True)} == want
+
+
+def test_nine_routes_parse_and_block_once(spark, monkeypatch):
+    """Records and hits are written and read back: parsed and blocked anew for each use, plans fill the driver."""
+    from lodestar.plans import catalog
+
+    rows = [("S1-1", "S1", 1, "acme steel", "12 oak lane 40001", "x"), ("S2-1", "S2", 1, "acme steel", "12 oak lane 40001", "x"), ("S3-1", "S3", 1, "acme foods", "9 elm road 40001", "x")]
+    rec = spark.createDataFrame(rows, "id string, src string, seq long, name string, addr string, country string")
+    monkeypatch.setattr(catalog, "records", lambda spark, d: rec)
+    calls = Counter()
+    for name in ("parse", "blocked"):
+        monkeypatch.setattr(er, name, lambda *a, f=getattr(er, name), n=name, **b: calls.update([n]) or f(*a, **b))
+    funnel = catalog.queries()["recall_funnel_nine_routes"](spark, "")
+    assert calls == {"parse": 1, "blocked": 1}
+    assert funnel.count() > 0
