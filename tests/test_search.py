@@ -82,3 +82,19 @@ def test_nine_routes_parse_and_block_once(spark, monkeypatch):
     funnel = catalog.queries()["recall_funnel_nine_routes"](spark, "")
     assert calls == {"parse": 1, "blocked": 1}
     assert funnel.count() > 0
+
+
+def test_nine_routes_are_written_one_by_one_and_broadcast_nothing(spark, monkeypatch):
+    """A plan of all routes at once, and records that are broadcast by their compressed size, fill the driver."""
+    from lodestar.plans import catalog
+    from lodestar.sources.scratch import Scratch
+
+    rows = [("S1-1", "S1", 1, "acme steel", "12 oak lane 40001", "x"), ("S2-1", "S2", 1, "acme steel", "12 oak lane 40001", "x"), ("S3-1", "S3", 1, "acme foods", "9 elm road 40001", "x")]
+    rec = spark.createDataFrame(rows, "id string, src string, seq long, name string, addr string, country string")
+    monkeypatch.setattr(catalog, "records", lambda spark, d: rec)
+    saved, plan = [], lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(Scratch, "save", lambda self, df, name, *a, f=Scratch.save, **b: saved.append((name, plan(df))) or f(self, df, name, *a, **b))
+    features = catalog.queries()["pair_features_nine_routes"](spark, "")
+    assert {r["target_id"] for r in features.collect()} == {"S2-1", "S3-1"}
+    assert Counter(n for n, _ in saved) == {"parsed": 1, "keys": 1, "blocked": 1, "hits": 5, "pairs": 1}
+    assert not [n for n, p in [*saved, ("result", plan(features))] if "Broadcast" in p]
