@@ -57,7 +57,10 @@ def _similar(scale: float = 1.0):
 
 def _bands(name: str) -> Query:
     def run(spark, d):
-        p = blocking.pairs_of(blocking.banded(c.parsed(spark, d), blocking.PRESETS[name]))
+        bands = blocking.PRESETS[name]
+        if blocking.unbounded(bands):
+            return blocking.whole_pairs(c.parsed(spark, d), bands)
+        p = blocking.pairs_of(blocking.banded(c.parsed(spark, d), bands))
         return p.select(*er.PAIR, F.array_join("routes", ",").alias("routes"), "n_routes")
 
     return run

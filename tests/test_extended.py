@@ -179,3 +179,18 @@ def test_samples_and_reasons(spark):
     d = catalog.Fixture("")
     said = {r["s1_id"]: r["category"] for r in forensics.without_candidates(catalog._s1(spark, d), catalog._truth(spark, d), spark.createDataFrame([], PAIRS), catalog.parsed(spark, d)).collect()}
     assert said["S1-9"] == "A_True_Singleton" and said["S1-3"].startswith("C_") and said["S1-1"].startswith("B_")
+
+
+def test_unbounded_bands_never_deal_out_pairs(spark):
+    """A hit of every pair and route was shuffled; now lists of records meet and pairs are spread from them last."""
+    bands = blocking.PRESETS["uncapped"]
+    assert [n for n, b in blocking.PRESETS.items() if blocking.unbounded(b)] == ["uncapped"]
+    rows = [(f"{s}-{i}", s, i, f"{w} {i % 7}", f"{i % 3} Oak St 4000{i % 3}", "x") for s, w in (("S1", "acme"), ("S2", "acme"), ("S3", "")) for i in range(60)]
+    records = spark.createDataFrame([*rows, ("S1-x", "S1", 61, None, None, "")], "id string, src string, seq long, name string, addr string, country string")
+    for p in (catalog.parsed(spark, catalog.Fixture("")), er.parse(records)):
+        want = blocking.pairs_of(blocking.banded(p, bands)).select(*er.PAIR, F.array_join("routes", ",").alias("routes"), "n_routes")
+        got = blocking.whole_pairs(p, bands)
+        assert sorted(got.collect()) == sorted(want.collect())
+    plan = extended.queries()["bands_uncapped"](spark, catalog.Fixture(""))._jdf.queryExecution().executedPlan().toString()
+    above = plan[: plan.index("Join")]
+    assert "Generate" in above and "Exchange" not in above and "Aggregate" not in above
